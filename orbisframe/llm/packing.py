@@ -14,6 +14,7 @@ length that a third of the pieces share is spread over many tasks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -26,13 +27,16 @@ from .scratch import Scratch
 CAPACITY = 2048
 MAX_PATTERNS = 400_000
 PER_SALT = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+SHORT = 9
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, ids of white-space-separated words remembered.
 
-    No token spans white space, so a text's ids are its words' ids in order.
+    No token spans white space, so a text's ids are its words' ids in order. New words of Latin letters, with or without
+    marks after them, are encoded many at a time: each letter run or run of marks is one or more tokens of which only the
+    last has the vocabulary's end-of-word suffix, which tells where a word's ids end.
     """
 
     def __init__(self, path: str):
@@ -42,22 +46,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").translate(_SPACES).split(" ") for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.known.keys())
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = set(chain.from_iterable(split))
+        new = words - self.known.keys()
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = list(set(chain.from_iterable(split)))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
+            self.known = self.known if len(self.known) <= CACHE_WORDS // 2 else {}
+            new = words - self.known.keys()
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        for at in range(0, len(plain), 20_000):
+            self._together(plain[at : at + 20_000])
+        rest = [w for w in new if w not in self.known]
+        for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _together(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        runs = np.cumsum([1 if w.isalpha() else 2 for w in words])
+        if len(stops) == runs[-1] and stops[-1] == len(ids):
+            raw, cuts = ids.tobytes(), [0, *(4 * stops[runs - 1]).tolist()]
+            self.known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
-_SPACES = {9: " ", 10: " ", 13: " "}
+
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?%&*$#|()]*")
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The one of this worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -67,12 +94,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(tokenizer_path)
+        of = encoder(tokenizer_path)
         for b in batches:
             rows = []
             texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for d, raw in zip(range(at, len(texts)), encoder.encode(texts[at : at + 256]), strict=False):
+            for at in range(0, len(texts), 512):
+                for d, raw in zip(range(at, len(texts)), of.encode(texts[at : at + 512]), strict=False):
                     raw += b"\0\0\0\0"
                     for p, s in enumerate(range(0, len(raw), 4 * capacity)):
                         ids = raw[s : s + 4 * capacity]
