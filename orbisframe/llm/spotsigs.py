@@ -57,36 +57,41 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, sigs), a row for each row of docs; null texts become empty ones."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("sigs", signatures(F.col("text")))
+    return _texts(docs, id_col, text_col).withColumn("sigs", signatures(F.col("text")))
 
 
-def with_next(prints: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """Add next_text and next_sigs: of the row that follows by doc_id, then text; after the last comes the first.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    Rows are dealt into ranges of doc_id at approximate quantiles, so no task sorts more than a range; the first row of each
-    range is also sent to the range before, where it follows the last. Null ids come first. A lone row follows itself.
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = PER_BUCKET) -> DataFrame:
+    """(doc_id, text, sigs, next_text, next_sigs): of the row itself and of the row that follows by doc_id, then text.
+
+    After the last row comes the first. Rows are dealt into ranges of doc_id at approximate quantiles, so no task sorts more
+    than a range; the first row of each range is also sent to the range before, where it follows the last. Null ids come
+    first. A lone row follows itself.
     """
-    spark = prints.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    ids = prints.select(key.alias("key"))
+    spark, texts = docs.sparkSession, _texts(docs, id_col, text_col)
+    body = texts.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    ids = body.select("key")
     n = ids.count()
     buckets = max(1, min(MAX_BUCKETS, n // per_bucket))
     at = [i / buckets for i in range(1, buckets)] or [0.5]
     cuts = ids.agg(F.percentile_approx("key", at, 10 * buckets + 1000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
+    bounds = F.lit(sorted(set(cuts))).cast("array<bigint>")
 
     def bucket(k: Column) -> Column:
-        return F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= k)) if cuts else F.lit(0)
+        return F.size(F.filter(bounds, lambda c: c <= k)) if cuts else F.lit(0)
 
     heads = sorted((r["b"], r["low"]) for r in ids.groupBy(bucket(F.col("key")).alias("b")).agg(F.min("key").alias("low")).collect())
     before = [(low, heads[i - 1][0]) for i, (_, low) in enumerate(heads)]  # at most MAX_BUCKETS + 1 rows
     sent = spark.createDataFrame(before, "low long, to_bucket int")
-    body = prints.withColumn("key", key)
     first = body.join(F.broadcast(sent), F.col("key") == F.col("low")).groupBy("low", "to_bucket")
-    first = first.agg(F.min(F.struct("key", "text", "sigs")).alias("s"))
-    ghosts = first.select("to_bucket", F.lit(True).alias("ghost"), F.col("s.key").alias("key"), F.lit(None).cast(prints.schema["doc_id"].dataType).alias("doc_id"), "s.text", "s.sigs")
-    rows = body.select(bucket(F.col("key")).alias("to_bucket"), F.lit(False).alias("ghost"), "key", "doc_id", "text", "sigs").unionByName(ghosts)
+    first = first.agg(F.min(F.struct("key", "text")).alias("s"))  # rows that share the smallest id: the first by text
+    none = F.lit(None).cast(texts.schema["doc_id"].dataType)
+    ghosts = first.select("to_bucket", F.lit(True).alias("ghost"), F.col("s.key").alias("key"), none.alias("doc_id"), "s.text")
+    rows = body.select(bucket(F.col("key")).alias("to_bucket"), F.lit(False).alias("ghost"), "key", "doc_id", "text").unionByName(ghosts)
+    rows = rows.withColumn("sigs", signatures(F.col("text")))
     order = Window.partitionBy("to_bucket").orderBy("ghost", "key", "text")
     rows = rows.select("ghost", "doc_id", "text", "sigs", F.lead("text").over(order).alias("next_text"), F.lead("sigs").over(order).alias("next_sigs"))
     return rows.filter(~F.col("ghost")).drop("ghost")
@@ -99,7 +104,7 @@ def probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_b
     texts are empty; repeated rows follow each other; null ids come first. An empty table gives no rows. Other columns
     are not read.
     """
-    rows = with_next(fingerprints(docs, id_col, text_col), per_bucket)
+    rows = with_next(docs, id_col, text_col, per_bucket)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
