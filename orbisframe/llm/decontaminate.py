@@ -16,6 +16,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small
+
 ERROR_RATE = 0.05
 MIN_CHARS = 20
 BLOCK_CHARS = 4_000_000
@@ -172,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             import pyarrow as pa
 
             matcher = Matcher(sent.value, error_rate, min_chars)
-            for b in batches:
+            for b in small(batches):
                 rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in matcher.find(t)]
                 cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
                 kinds = [b.column(0).type, None if rows else pa.null(), pa.int32(), pa.int64(), pa.int64()]
@@ -196,7 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             import pyarrow as pa
 
             matcher = Matcher(sent.value, error_rate, min_chars)
-            for b in batches:
+            for b in small(batches):
                 clean = [not matcher.find(t) for t in b.column(place).to_pylist()]
                 yield b.filter(pa.array(clean, type=pa.bool_()))
 

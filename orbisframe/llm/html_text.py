@@ -17,6 +17,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
@@ -277,7 +279,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             texts = [main_text(p) for p in b.column(2).to_pylist()]
             counts = pa.array([len(t) for t in texts], type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, type=pa.string()), counts], names=["page_id", "url", "text", "n_chars"])

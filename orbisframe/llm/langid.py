@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small
+
 ORDER = 3
 FIT_BYTES = 400_000
 FIT_TOTAL = 16_000_000
@@ -43,11 +45,11 @@ class Model:
         held, at, size = [], [], 0
         for k, text in enumerate(texts):
             raw = text.encode("utf-8", "surrogatepass")
-            for start in range(0, len(raw), 1 << 20):  # a long text in parts, each after the three bytes before it
-                part = raw[max(0, start - ORDER) : start + (1 << 20)]
+            for start in range(0, len(raw), 1 << 18):  # a long text in parts, each after the three bytes before it
+                part = raw[max(0, start - ORDER) : start + (1 << 18)]
                 held.append((k, part, min(start, ORDER)))
                 size += len(part)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     self._add(held, out)
                     held, size = [], 0
         self._add(held, out)
@@ -97,12 +99,16 @@ def fit(texts_by_lang: dict[str, list[str]]) -> Model:
         code = ((sym[at - 3] * a + sym[at - 2]) * a + sym[at - 1]) * a + sym[at]
         grams[g] = np.unique(code, return_counts=True)
     three = np.unique(np.concatenate([k // a for k, _ in grams.values()])) if grams else np.empty(0, np.int64)
-    node = a * a + np.zeros(a * a * a, dtype=np.int32)
-    node[:] = np.arange(a * a * a) % (a * a)  # the order-2 context of a context that no language has seen
-    node[three] = a * a + np.arange(len(three))
-    bits = np.empty(((a * a + len(three)) * a, len(langs)), dtype=np.float32)
+    two = np.unique(three % (a * a))
+    node = (np.arange(a * a * a) % a).astype(np.int32)  # a context of which no language has seen more than the last byte
+    of_two = np.full(a * a, -1, dtype=np.int32)
+    of_two[two] = a + np.arange(len(two))
+    wide = np.tile(of_two, a)
+    node[wide >= 0] = wide[wide >= 0]
+    node[three] = a + len(two) + np.arange(len(three))
+    bits = np.empty(((a + len(two) + len(three)) * a, len(langs)), dtype=np.float32)
     for k, g in enumerate(langs):
-        bits[:, k] = _code_table(*grams[g], three, a)
+        bits[:, k] = _code_table(*grams[g], two, three, a)
     return Model(langs, symbol, node.reshape(a, a, a), bits)
 
 
@@ -116,8 +122,8 @@ def _blend(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total > 0, mixed, lower)
 
 
-def _code_table(code: np.ndarray, count: np.ndarray, three: np.ndarray, a: int) -> np.ndarray:
-    """Bits for (context, symbol): all order-2 contexts, then the order-3 contexts of ``three``."""
+def _code_table(code: np.ndarray, count: np.ndarray, two: np.ndarray, three: np.ndarray, a: int) -> np.ndarray:
+    """Bits for (context, symbol): all contexts of order 1, then those of order 2 and 3 that some language has seen."""
 
     def table(of: np.ndarray, rows: int) -> np.ndarray:
         return np.bincount(of * a + code % a, weights=count, minlength=rows * a).reshape(rows, a)
@@ -125,9 +131,9 @@ def _code_table(code: np.ndarray, count: np.ndarray, three: np.ndarray, a: int)
     context = code // a
     p0 = _blend(table(np.zeros_like(code), 1), np.full((1, a), 1 / a))
     p1 = _blend(table(context % a, a), np.broadcast_to(p0, (a, a)))
-    p2 = _blend(table(context % (a * a), a * a), p1[np.arange(a * a) % a])
-    p3 = _blend(table(np.searchsorted(three, context), len(three)), p2[three % (a * a)])
-    return -np.log2(np.concatenate([p2, p3]).ravel())
+    p2 = _blend(table(np.searchsorted(two, context % (a * a)), len(two)), p1[two % a])
+    p3 = _blend(table(np.searchsorted(three, context), len(three)), p2[np.searchsorted(two, three % (a * a))])
+    return -np.log2(np.concatenate([p1, p2, p3]).ravel())
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -182,7 +188,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             langs, scores = predict(sent.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, type=pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
@@ -198,7 +204,7 @@ def accept(docs: DataFrame, model: Model, text_col: str = "text", min_score: flo
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             langs, scores = predict(sent.value, b.column(place).to_pylist())
             yield b.filter(pa.array([g != "und" and s >= min_score for g, s in zip(langs, scores, strict=True)], type=pa.bool_()))
 

@@ -16,6 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small
 from .scratch import Scratch
 
 THRESHOLD = 0.7
@@ -148,7 +149,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
         import pyarrow as pa
 
         scorer = Scorer(*sent.value, templates)
-        for b in batches:
+        for b in small(batches):
             found = [scorer.scan(p, t) for p, t in zip(b.column(place).to_pylist(), b.column(width).to_pylist(), strict=True)]
             names = pa.array([f[1] if f[0] >= threshold else None for f in found], type=pa.string())
             scores = pa.array([round(f[0], 9) if f[0] >= threshold else None for f in found], type=pa.float64())

@@ -22,12 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import small
 from .scratch import Scratch
 
 CAPACITY = 2048
 MAX_PATTERNS = 400_000
 PER_SALT = 20_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 SHORT = 9
 
 
@@ -35,17 +36,20 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, ids of white-space-separated words remembered.
 
     No token spans white space, so a text's ids are its words' ids in order. New words of Latin letters, with or without
-    marks after them, are encoded many at a time: each letter run or run of marks is one or more tokens of which only the
-    last has the vocabulary's end-of-word suffix, which tells where a word's ids end.
+    marks after them, are encoded many at a time by the same model. They need none of its normalisers but lower case, and
+    splitting letters from marks: each run is one or more tokens of which only the last has the vocabulary's end-of-word
+    suffix, which tells where a word's ids end.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
@@ -58,7 +62,7 @@ class Encoder:
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
             self.known = self.known if len(self.known) <= CACHE_WORDS // 2 else {}
             new = words - self.known.keys()
-        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        plain = list(filter(_PLAIN.fullmatch, new))
         for at in range(0, len(plain), 20_000):
             self._together(plain[at : at + 20_000])
         rest = [w for w in new if w not in self.known]
@@ -68,15 +72,17 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
     def _together(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        runs = _MARKS.sub(r" \g<0>", " ".join(words)).lower()
+        ids = np.array(self.plain.encode_batch_fast([runs], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        runs = np.cumsum([1 if w.isalpha() else 2 for w in words])
-        if len(stops) == runs[-1] and stops[-1] == len(ids):
-            raw, cuts = ids.tobytes(), [0, *(4 * stops[runs - 1]).tolist()]
+        last = np.cumsum([1 if w.isalpha() else 2 for w in words])
+        if len(stops) == last[-1] and stops[-1] == len(ids):
+            raw, cuts = ids.tobytes(), [0, *(4 * stops[last - 1]).tolist()]
             self.known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?%&*$#|()]*")
+_MARKS = re.compile(r"[.,;:!?%&*$#|()]+")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -95,15 +101,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         of = encoder(tokenizer_path)
-        for b in batches:
+        for b in small(batches):
             rows = []
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                for d, raw in zip(range(at, len(texts)), of.encode(texts[at : at + 512]), strict=False):
-                    raw += b"\0\0\0\0"
-                    for p, s in enumerate(range(0, len(raw), 4 * capacity)):
-                        ids = raw[s : s + 4 * capacity]
-                        rows.append((d, p, s // 4, len(ids) // 4, zlib.crc32(ids)))
+            for d, raw in enumerate(of.encode(b.column(1).to_pylist())):
+                raw += b"\0\0\0\0"
+                for p, s in enumerate(range(0, len(raw), 4 * capacity)):
+                    ids = raw[s : s + 4 * capacity]
+                    rows.append((d, p, s // 4, len(ids) // 4, zlib.crc32(ids)))
             cols = [list(c) for c in zip(*rows, strict=True)]
             if rows:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]

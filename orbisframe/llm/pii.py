@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small
+
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9
 ROUNDS = 50
@@ -203,7 +205,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Labeling:
         import pyarrow as pa
 
         found: Counter = Counter()
-        for b in batches:
+        for b in small(batches):
             for t in b.column(0).to_pylist():
                 found.update((k, *votes, length) for k, _, _, _, votes, length in candidates(t))
         if found:
@@ -257,7 +259,7 @@ def detect(docs: DataFrame, labeling: Labeling, id_col: str = "doc_id", text_col
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             found = [find(t, labeling) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], type=pa.int64()) for k in range(len(KINDS))]
             digests = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], type=pa.string())
@@ -276,7 +278,7 @@ def redact(docs: DataFrame, labeling: Labeling, text_col: str = "text", n_chars:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             texts = [masked(t, find(t, labeling)[1]) for t in b.column(place).to_pylist()]
             yield b.set_column(place, b.schema.field(place), pa.array(texts, type=b.column(place).type))
 

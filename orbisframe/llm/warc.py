@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import small
+
 REVISIT_BYTES = 100
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _MAGIC = b"\x1f\x8b\x08"
@@ -79,7 +81,7 @@ def write(planned: DataFrame, folder: str) -> int:
         system.create_dir(root, recursive=True)
         attempt, n = f"{root}/_{part:06d}-{uuid.uuid4().hex}", 0
         with system.open_output_stream(attempt) as out:
-            for b in batches:
+            for b in small(batches):
                 for page_id, url, payload, digest, size, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     shared = {"WARC-Record-ID": _name(page_id), "WARC-Target-URI": url or "", "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Payload-Digest": "sha256:" + digest.hex(), "X-Payload-Length": str(size)}
                     if refers is None:
