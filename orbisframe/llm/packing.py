@@ -57,11 +57,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = set(chain.from_iterable(split))
-        new = words - self.known.keys()
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
             self.known = self.known if len(self.known) <= CACHE_WORDS // 2 else {}
-            new = words - self.known.keys()
+            new = words.difference(self.known)
         plain = list(filter(_PLAIN.fullmatch, new))
         for at in range(0, len(plain), 20_000):
             self._together(plain[at : at + 20_000])
