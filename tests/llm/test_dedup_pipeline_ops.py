@@ -259,6 +259,8 @@ def test_pii_learns_proposed_spans(spark, odd):
     assert all(got[i].spans.startswith("email:") and got[i].n_email == 0 for i in range(200, 240))
     assert all(got[i].spans == "" for i in range(240, 280))
     assert all(got[i].n_email == 1 and got[i].n_phone == 1 for i in range(200))
+    run_on = "+1 (569) 555-6633 4556737586899855 or"
+    assert pii.base_spans(run_on) == [] and (3, 0, 17) in pii.find(run_on, labeling)[1]
     masked = {r.doc_id: r.text for r in pii.redact(table, labeling).collect()}
     assert masked[0] == "Please contact <EMAIL> or call <PHONE>."
     assert pii.detect(odd, pii.learn(odd)).count() == 8
