@@ -28,17 +28,16 @@ from .scratch import Scratch
 CAPACITY = 2048
 MAX_PATTERNS = 400_000
 PER_SALT = 20_000
-CACHE_WORDS = 400_000
-SHORT = 9
+CACHE_WORDS = 700_000
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, ids of white-space-separated words remembered.
 
     No token spans white space, so a text's ids are its words' ids in order. New words of Latin letters, with or without
-    marks after them, are encoded many at a time by the same model. They need none of its normalisers but lower case, and
-    splitting letters from marks: each run is one or more tokens of which only the last has the vocabulary's end-of-word
-    suffix, which tells where a word's ids end.
+    marks after them, are taken apart: no token holds both letters and marks. The letters need none of the tokenizer's
+    normalisers but lower case; runs not met before are encoded many at a time by the same model, and as only the last token
+    of a run has the vocabulary's end-of-word suffix, it shows where a run's ids end.
     """
 
     def __init__(self, path: str):
@@ -59,30 +58,49 @@ class Encoder:
         words = set(chain.from_iterable(split))
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
-            self.known = self.known if len(self.known) <= CACHE_WORDS // 2 else {}
+            self._forget()
             new = words.difference(self.known)
-        plain = list(filter(_PLAIN.fullmatch, new))
-        for at in range(0, len(plain), 20_000):
-            self._together(plain[at : at + 20_000])
+        self._plain(list(filter(_PLAIN.fullmatch, new)))
         rest = [w for w in new if w not in self.known]
         for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _together(self, words: list[str]) -> None:
-        runs = _MARKS.sub(r" \g<0>", " ".join(words)).lower()
-        ids = np.array(self.plain.encode_batch_fast([runs], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _forget(self) -> None:
+        """Keep the shorter words, which come back most, up to three quarters of the room."""
+        lengths = np.bincount([len(w) for w in self.known])
+        longest = int(np.searchsorted(np.cumsum(lengths), 0.75 * CACHE_WORDS, side="right")) - 1
+        self.known = {w: ids for w, ids in self.known.items() if len(w) <= longest}
+
+    def _plain(self, words: list[str]) -> None:
+        """Remember words of letters and marks: their letters in lower case are looked up, or encoded many at a time."""
+        low = "\n".join(words).lower().split("\n") if words else []
+        cores = [w.rstrip(_MARKS) for w in low]
+        ids: dict[str, bytes] = {}
+        new = list(set(cores).difference(self.known))
+        for at in range(0, len(new), 20_000):
+            ids.update(self._together(new[at : at + 20_000]))
+        marks = {w[len(c) :] for w, c in zip(low, cores, strict=True)}
+        ends = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in marks}
+        known = self.known
+        for word, l, c in zip(words, low, cores, strict=True):
+            letters = ids.get(c) or known.get(c)
+            if letters:
+                known[word] = letters + ends[l[len(c) :]]
+
+    def _together(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs of letters; empty if they can't be told apart."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        last = np.cumsum([1 if w.isalpha() else 2 for w in words])
-        if len(stops) == last[-1] and stops[-1] == len(ids):
-            raw, cuts = ids.tobytes(), [0, *(4 * stops[last - 1]).tolist()]
-            self.known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        if len(stops) != len(runs) or stops[-1] != len(ids):
+            return {}
+        raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return dict(zip(runs, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?%&*$#|()]*")
-_MARKS = re.compile(r"[.,;:!?%&*$#|()]+")
+_MARKS = ".,;:!?%&*$#|()"
 _ENCODERS: dict[str, Encoder] = {}
 
 
