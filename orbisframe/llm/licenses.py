@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file that speaks of licensing gives windows of words around the cue, as long as the templates are; a licence
-file (by its name) gives its whole text, too. A window is scored against each template by the cosine of sparse TF-IDF
+Every place of a file that speaks of licensing gives windows of words around the cue, as long as the templates are and across
+line breaks on both sides; a licence file (by its name) gives its whole text, too. An SPDX tag that names a template's licence
+(the first of an expression, without -only, -or-later or +) scores 1. A window is scored against each template by the cosine of sparse TF-IDF
 vectors; words that no template has count in the window's length as the rarest words do. The document frequencies of the
 templates' words are counted over all files. A file's own licence is the best score of at least ``THRESHOLD``. Files
 without one inherit from the deepest ancestor directory that holds a licence file with one, by joins on the path.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -38,10 +40,11 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Confidential and proprietary. All rights reserved."),
 }
-CUE = r"(?i)licen[cs]|copyright|rights reserved|public domain|permission is hereby|permission to use|redistribution and use|creative commons|waived all"
+CUE = r"(?i)licen[cs]|copyright|rights\W+reserved|public\W+domain|permission\W+is\W+hereby|permission\W+to\W+use|redistribution\W+and\W+use|creative\W+commons|waived\W+all"
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 _CUE, _FILE = re.compile(CUE), re.compile(LICENCE_FILE)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_SPDX = re.compile(r"spdx-license-identifier\s*:[\s(]*([a-z0-9.-]*[a-z0-9])")
 WORD_SPLIT = r"[^a-z0-9.]+"
 
 
@@ -61,6 +64,7 @@ class Scorer:
             for text in templates[name]:
                 v, norm = self._vector(words(text))
                 self.vectors.append((name, v, norm))
+        self.names = {name.lower(): name for name in templates}
         self.sizes = sorted({len(words(t)) for texts in templates.values() for t in texts})
 
     def _vector(self, tokens: list[str]) -> tuple[dict[str, float], float]:
@@ -85,34 +89,26 @@ class Scorer:
         found = (0.0, None)
         if _FILE.search((path or "").rsplit("/", 1)[-1]):
             found = self.best(words(text))
+        low = text.lower()
+        for m in _SPDX.finditer(low):
+            name = self.names.get(re.sub("-only$|-or-later$", "", m[1]))
+            found = max(found, (1.0 if name else 0.0, name), key=lambda f: f[0])
+        places = list(_WORD.finditer(low))
+        tokens, starts = [m[0] for m in places], [m.start() for m in places]
         seen = set()
-        for line, after in _cue_lines(text):
-            tokens = words(line)
-            cues = [len(words(line[: m.start()])) for m in _CUE.finditer(line)]
-            both = tokens + words(after)
-            for cue in cues:
-                for size in self.sizes:
-                    for start in range(max(0, cue - size + 1), cue + 1, max(1, size // 8)):
-                        window = tuple(both[start : start + size])
-                        if window not in seen:
-                            seen.add(window)
-                            found = max(found, self.best(list(window)), key=lambda f: f[0])
+        for m in _CUE.finditer(low):
+            cue = bisect_left(starts, m.start())
+            line = bisect_left(starts, low.rfind("\n", starts[max(0, cue - self.sizes[-1])] if cue else 0, m.start()) + 1)
+            for size in self.sizes:
+                first, step = max(0, cue - size + 1), max(1, size // 8)
+                for start in sorted({*range(first, cue + 1, step), *range(max(first, line), cue + 1, step)}):
+                    window = tuple(tokens[start : start + size])
+                    if window not in seen:
+                        seen.add(window)
+                        found = max(found, self.best(list(window)), key=lambda f: f[0])
         return found
 
 
-def _cue_lines(text: str):
-    """Each line with a cue, with up to 80 further words' worth of text after it."""
-    at = 0
-    for m in _CUE.finditer(text):
-        if m.start() < at:
-            continue
-        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        start, stop = max(start, m.start() - 600), min(end, m.end() + 600)
-        yield text[start:stop], text[stop : stop + 600] if stop == end else ""
-        at = stop
-
-
 def vocabulary(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[str]:
     return sorted({w for texts in templates.values() for t in texts for w in words(t)})
 

@@ -5,6 +5,7 @@ import hashlib
 import html
 import io
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -237,6 +238,32 @@ def test_license_scan(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+WRAPPED = [
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MIT", "Released under the MIT\nLicense."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public\nLicense, version 3."),
+    ("Unlicense", "This is free and unencumbered software released into the\npublic domain."),
+    ("Apache-2.0", "Licensed under the Apache\nLicense, Version 2.0."),
+    *[(name, textwrap.fill(text, width)) for width in (40, 72, 80) for name, texts in licenses.TEMPLATES.items() for text in texts],
+]
+
+
+@pytest.mark.parametrize("lead", ["", " * ", "# ", "// "])
+def test_wrapped_notices(lead):
+    scorer = licenses.Scorer({}, 10_000)
+    before, after = "Parser of tables and other things that files hold\nFile 7 of the project\n\n", "\n\nimport os\nimport sys\nprint(os.name)\n" * 9
+    for name, notice in WRAPPED:
+        score, found = scorer.scan("src/x.c", "\n".join(lead + line for line in (before + notice + after).split("\n")))
+        assert found == name and score >= licenses.THRESHOLD, (name, notice, found, score)
+
+
+def test_spdx_tags():
+    scorer = licenses.Scorer({}, 10_000)
+    said = {"MIT": "MIT", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0+": "GPL-2.0", "(Apache-2.0 OR MIT)": "Apache-2.0", "BSD-3-Clause": "BSD-3-Clause", "cc0-1.0": "CC0-1.0"}
+    assert {tag: scorer.scan("x.c", f"// SPDX-License-Identifier: {tag}\nint x;") for tag in said} == {tag: (1.0, name) for tag, name in said.items()}
+    assert scorer.scan("x.c", "// SPDX-License-Identifier: EPL-2.0\nint x;")[0] < licenses.THRESHOLD
+
+
 def test_license_query(spark):
     rows = queries.QUERIES["op1_license_scan"](spark, "/root/testdata/sf0.01").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
