@@ -85,7 +85,7 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    return spotsigs.probe(_table(spark, sf_dir, "documents"))
+    return spotsigs.probe(_table(spark, sf_dir, "documents"), run=spotsigs.RUN)
 
 
 def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,39 @@ def test_spotsigs_odd_rows(spark):
     assert spotsigs.probe(stops).first().n_chars == 400_003
 
 
+def covering_signatures(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    content = [(k, w) for k, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    runs = []
+    for i, (k, _) in enumerate(content):
+        if i and content[i - 1][0] == k - 1:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    starts = [i for r in runs for i in (r if len(r) > spotsigs.RUN else r[:1])]
+    return {" ".join(w for _, w in content[i : i + 3]) for i in starts} or {"#" + (text or "").lower()}
+
+
+def test_spotsigs_query_covers_long_runs(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries.QUERIES["op9_spotsigs"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, (d, text) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        cut = len(text) // 4
+        a, b, c = map(covering_signatures, (text, text[: len(text) - cut] + after[:cut], after))
+        assert got[d].near_edited == pytest.approx(len(a & b) / len(a | b)) and got[d].near_next == pytest.approx(len(a & c) / len(a | c))
+        assert len(got[d].fingerprint) == 8 * len(a) and len(got[d].edited_fingerprint) == 8 * len(b)
+
+
+def test_spotsigs_without_anchors(spark):
+    rows = [(i, "\n".join(f"| r{i}x{j} | v{i}x{j} |" for j in range(100))) for i in range(4)]
+    rows += [(8, " ".join(f"w{j}" for j in range(9))), (9, " ".join(f"w{j}" for j in range(10))), (10, "the " + "\n".join(f"{j} the" for j in range(9)))]
+    got = {r.doc_id: r for r in spotsigs.probe(spark.createDataFrame(rows, "doc_id long, text string"), run=spotsigs.RUN).collect()}
+    assert all(len(got[i].fingerprint) == 8 * 200 and 0.55 < got[i].near_edited < 0.75 and got[i].near_next == 0 for i in range(3))
+    assert [len(got[i].fingerprint) // 8 for i in (8, 9, 10)] == [1, 10, 9]
+
+
 def test_spotsigs_query_is_native(spark):
     plan = queries.QUERIES["op9_spotsigs"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
