@@ -2,7 +2,8 @@
 
 A page is cut into tags and text by one linear pattern and built into a tree; end tags that HTML lets authors leave out are
 implied. Menus, site headers and footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader
-comments are set aside by element and by the words in their class, id and role. Each remaining paragraph passes points
+comments are set aside by element and by the words in their class, id and role; words alone do not set aside a wrapper, which
+holds all ``article`` and ``main`` elements of the page or, where there are none, nine tenths of its text outside links. Each remaining paragraph passes points
 (one, one a comma, and one for each 100 characters up to three) to its ancestors, in full to the parent, half to the
 grandparent, and 1 / (2 n) to the n-th further up. Points are discounted by the share of text inside links. The container
 with most points is the article, widened to the ``article`` or ``main`` element around it; siblings with a fifth of its points, or paragraphs
@@ -58,10 +59,11 @@ _SCORED = frozenset("p pre td blockquote li dd h2 h3".split())
 
 
 class Node:
-    __slots__ = ("attrs", "inside", "kids", "parent", "tag")
+    __slots__ = ("attrs", "inside", "kids", "parent", "tag", "wraps")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.wraps = False
         self.inside = bool(parent) and (parent.inside or parent.tag in ("article", "main"))
 
     def marks(self) -> dict[str, str]:
@@ -83,7 +85,7 @@ class Node:
         if "hidden" in marks or marks.get("aria-hidden") == "true" or _HIDDEN.search(marks.get("style", "")):
             return True
         names = " ".join(marks.get(k, "") for k in ("class", "id", "role"))
-        return bool(_UNLIKELY.search(names)) and not any(isinstance(k, Node) and k.tag in ("article", "main") for k in self.kids)
+        return bool(_UNLIKELY.search(names)) and not self.wraps and not any(isinstance(k, Node) and k.tag in ("article", "main") for k in self.kids)
 
 
 def parse(page: str) -> Node:
@@ -148,6 +150,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _mark_wrappers(root)
     order, skipped = _walk(root)
     chars, links = _lengths(order)
     points: dict[int, float] = {}
@@ -197,6 +200,27 @@ def main_text(page: str | None) -> str:
     return "\n".join(blocks)
 
 
+def _mark_wrappers(root: Node) -> None:
+    """Set wraps on the elements that hold all of the page's articles, or else nearly all of its text."""
+    nodes, at = [root], 0
+    while at < len(nodes):
+        nodes += [k for k in nodes[at].kids if isinstance(k, Node)]
+        at += 1
+    articles = any(n.tag in ("article", "main") for n in nodes)
+    held: dict[int, int] = {}
+    for n in reversed(nodes):  # kids before their parents
+        if articles:
+            own = n.tag in ("article", "main")
+        else:
+            own = sum(len(k.strip()) for k in n.kids if isinstance(k, str)) if n.tag != "a" else 0
+        held[id(n)] = held.get(id(n), 0) + own
+        if n.parent is not None:
+            held[id(n.parent)] = held.get(id(n.parent), 0) + held[id(n)]
+    all_of = held[id(root)]
+    for n in nodes:
+        n.wraps = 0 < all_of and held[id(n)] >= (all_of if articles else 0.9 * all_of)
+
+
 def _walk(root: Node) -> tuple[list[Node], set[int]]:
     """Elements in page order without those set aside, and the ids of the latter."""
     order, skipped, stack = [], set(), [root]

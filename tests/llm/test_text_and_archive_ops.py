@@ -145,6 +145,18 @@ def test_pages_without_article_elements():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x</script>") == ""
 
 
+@pytest.mark.parametrize("names", ["page with-sidebar", "no-sidebar", "has-banner layout"])
+def test_layout_wrappers_stay(names):
+    bar = "<div class=sidebar><p>Side, bar, with words</p></div>"
+    thread = "<div id='comments'><ol>" + f"<li><article><p>Nice, post, {'indeed, ' * 50}</p></article>" * 3 + "</ol></div>"
+    assert html_text.main_text(f"<body><div class='{names}'><div>{ARTICLE}</div>{bar}</div></body>") == WANT
+    assert html_text.main_text(f"<body><div class='{names}'><div><main>{ARTICLE}{thread}</main></div>{bar}</div></body>") == WANT
+    lines = [f"Sentence {i}, which goes on, and on, for quite a while so that it scores." for i in range(9)]
+    prose = "".join(f"<p>{x}</p>" for x in lines)
+    assert "By us" not in html_text.main_text(f"<body><div>{'<br>'.join(lines)}</div><div class=footer><p>By us</p></div></body>")
+    assert html_text.main_text(f"<body><div class='{names}'><div>{prose}</div></div><div class=footer><p>By us</p></div></body>") == "\n".join(lines)
+
+
 def test_html_is_linear_and_safe():
     for page in ("<div>" * 30_000 + "x", "<a b='" * 5000, "<" * 50_000, "<p>" + "a, " * 200_000, "<!--" * 20_000, "</p>" * 30_000, "<script>" * 3000):
         html_text.main_text(page)
