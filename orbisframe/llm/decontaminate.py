@@ -3,7 +3,8 @@
 Texts and items are compared as their words in lower case, joined by single spaces. An item of n characters may occur
 with up to k = floor(error_rate * n) edits. It is split into k + 1 pieces; an occurrence with k edits leaves at least one
 piece intact, so an Aho-Corasick automaton over all pieces finds every candidate place. Each candidate window is
-verified with Myers' bit-parallel edit distance, the whole item being one bit vector.
+verified with Myers' bit-parallel edit distance, the whole item being one bit vector. Items of under ``MIN_CHARS`` characters
+are too short for edits: they occur where all their words stand unchanged, in whole words.
 
 Items reach the workers in blocks of at most ``block_chars`` characters, one pass over the texts for each block, so
 what a worker holds is bounded whatever the size of the benchmark.
@@ -84,6 +85,7 @@ class Matcher:
         import ahocorasick
 
         self.items, self.auto, by_piece = [], ahocorasick.Automaton(), {}
+        self.short, exact = ahocorasick.Automaton(), {}
         for item_id, raw in items:
             item = normalize(raw)
             if len(item) >= min_chars:
@@ -91,6 +93,12 @@ class Matcher:
                 for offset, piece in pieces(item, k):
                     by_piece.setdefault(piece, []).append((len(self.items), offset + len(piece)))
                 self.items.append((item_id, item, k))
+            elif item:
+                exact.setdefault(item, []).append(item_id)
+        for item, ids in exact.items():
+            self.short.add_word(f" {item} ", (len(item), ids))
+        if exact:
+            self.short.make_automaton()
         for piece, where in by_piece.items():
             self.auto.add_word(piece, where)
         if by_piece:
@@ -98,11 +106,11 @@ class Matcher:
 
     def find(self, raw: str | None) -> list[tuple]:
         """(item_id, distance, start, end): an entry for each item that occurs; code points of raw, end exclusive."""
-        if not self.items or not raw:
+        if not (self.items or len(self.short)) or not raw:
             return []
         text = normalize(raw)
         windows: dict[int, list[tuple[int, int]]] = {}
-        for end, where in self.auto.iter(text):
+        for end, where in self.auto.iter(text) if self.items else ():
             for n, upto in where:
                 _, item, k = self.items[n]
                 start = end + 1 - upto
@@ -114,6 +122,13 @@ class Matcher:
             if hit:
                 words = words or _places(raw)
                 out.append((item_id, hit[0], _first(words, hit[1], raw), _last(words, hit[2], raw)))
+        seen = set()
+        for end, (size, ids) in self.short.iter(f" {text} ") if len(self.short) else ():
+            start = end - 1 - size
+            if ids[0] not in seen:
+                seen.update(ids)
+                words = words or _places(raw)
+                out += [(item_id, 0, _first(words, start, raw), _last(words, end - 1, raw)) for item_id in ids]
         return out
 
 
@@ -159,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each document and benchmark item that occurs in it: (doc_id, item_id, distance, start, end).
 
     distance is the smallest number of edits, start and end the code points of the first such place, widened to whole words. Items
-    whose normal form is shorter than min_chars, null items, and null or empty texts match nothing. Repeated rows of
+    whose normal form is shorter than min_chars match whole words without edits; null items, items without words, and null or empty texts match nothing. Repeated rows of
     docs each give their rows, repeated items one. Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession

@@ -217,6 +217,15 @@ def test_decontamination_spans_and_odd_rows(spark, odd):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_match_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Forty-two!"), (2, "in Paris"), (3, "IN, paris"), (4, "?!")], "item_id long, text string")
+    texts = ["It is: FORTY two, in  Paris", "forty twos in Parish", "fortytwo", "in Paris in Paris", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, texts[r.doc_id][r.start : r.end]) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(0, 1, 0, "FORTY two"), (0, 2, 0, "in  Paris"), (0, 3, 0, "in  Paris"), (3, 2, 0, "in Paris"), (3, 3, 0, "in Paris")]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [1, 2, 4, 5]
+
+
 def plain_spans(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
