@@ -353,3 +353,31 @@ def test_pipeline_matches_its_parts(spark):
 
 def test_nfc_does_not_cross_spaces():
     assert unicodedata.normalize("NFC", "a ́b") == "a ́b"
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    long = {"aa": "abra kadabra alakazam " * 5_000, "bb": "wozu denn wohin woher " * 5_000}
+    rows = [(i, long["aa" if i % 2 else "bb"], "aa" if i % 2 else "bb") for i in range(12)]
+    rows += [(100 + i, "ni hao ma ni hao", "cc") for i in range(9)] + [(None, f"null id {i} null id", "dd") for i in range(50)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), span=300)
+    assert model.langs == ["aa", "bb", "cc", "dd"]
+    assert langid.predict(model, ["kadabra abra", "wohin denn", "ni hao", "²½ 12", "null id"])[0] == ["aa", "bb", "cc", "und", "dd"]
+    with pytest.raises(ValueError):
+        langid.MAX_LANGS, kept = 3, langid.MAX_LANGS
+        try:
+            langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        finally:
+            langid.MAX_LANGS = kept
+
+
+def test_model_stays_small_for_many_languages():
+    rng = random.Random(5)
+    texts = {}
+    for n in range(40):
+        letters = [chr(rng.randrange(0x4E00 + 40 * n, 0x4E40 + 40 * n)) for _ in range(30)]
+        texts[f"l{n:02}"] = [" ".join("".join(rng.choices(letters, k=5)) for _ in range(300)) for _ in range(3)]
+    model = langid.fit(texts)
+    entries = sum(len(a) for t in model.trees for a in [*t.grams, *t.contexts])
+    total = sum(len(t.encode()) for ts in texts.values() for t in ts)
+    assert entries <= 2 * (langid.ORDER + 1) * total
+    assert langid.predict(model, [ts[0][:200] for _, ts in sorted(texts.items())])[0] == sorted(texts)
