@@ -1,11 +1,12 @@
 """Main text of web pages by scoring the element tree.
 
-A page is cut into tags and text by one linear pattern and built into a tree; end tags that HTML lets authors leave out are
-implied. Menus, site headers and footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader
+A page is cut into tags and text by one pattern and built into a tree; end tags that HTML lets authors leave out are
+implied. All steps are linear in the page's length, whatever its tags: places of open elements are kept by name, and once a quote
+in a tag never ends, quotes no longer shield a ``>``. Menus, site headers and footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader
 comments are set aside by element and by the words in their class, id and role; words alone do not set aside a wrapper, which
 holds all ``article`` and ``main`` elements of the page or, where there are none, nine tenths of its text outside links. Each remaining paragraph passes points
-(one, one a comma, and one for each 100 characters up to three) to its ancestors, in full to the parent, half to the
-grandparent, and 1 / (2 n) to the n-th further up. Points are discounted by the share of text inside links. The container
+(one, one a comma, and one for each 100 characters up to three) to its nearest ``LEVELS`` = 6 ancestors, in full to the parent, half to
+the grandparent, and 1 / (2 n) to the n-th. Points are discounted by the share of text inside links. The container
 with most points is the article, widened to the ``article`` or ``main`` element around it; siblings with a fifth of its points, or paragraphs
 of prose beside it, are kept with it.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ from .arrow import small
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
+_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_MARKUP = re.compile(r"<[!?]")
+LEVELS = 6
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,61 +93,94 @@ class Node:
         return bool(_UNLIKELY.search(names)) and not self.wraps and not any(isinstance(k, Node) and k.tag in ("article", "main") for k in self.kids)
 
 
+class _Tree:
+    """Builds the tree; stack: the open elements, places: where in it those of each name are, in rising order."""
+
+    def __init__(self):
+        self.root = Node("html", "", None)
+        self.stack, self.places = [self.root], {"html": [0]}
+
+    def text(self, part: str) -> None:
+        if part:
+            self.stack[-1].kids.append(part)
+
+    def _cut(self, place: int) -> None:
+        """End the open elements from place on."""
+        for n in self.stack[place:]:
+            self.places[n.tag].pop()
+        del self.stack[place:]
+
+    def _last(self, names) -> int:
+        """The place of the innermost open element of these names; -1 where there is none."""
+        return max((p[-1] for p in map(self.places.get, names) if p), default=-1)
+
+    def _implied(self, ends: frozenset, scope: frozenset) -> None:
+        """End the outermost open element of ends that lies within the innermost of scope."""
+        inner = self._last(ends)
+        if inner < 0:
+            return
+        limit = self._last(scope)
+        if inner > limit:
+            firsts = (p[bisect_right(p, limit)] for p in map(self.places.get, ends) if p and p[-1] > limit)
+            self._cut(min(firsts))
+
+    def open(self, name: str, attrs: str) -> None:
+        if name in _CLOSES_P:
+            self._implied(_P, _P_SCOPE)
+        if name in _IMPLIED:
+            self._implied(*_IMPLIED[name])
+        made = Node(name, attrs, self.stack[-1])
+        self.stack[-1].kids.append(made)
+        if name not in VOID:
+            self.places.setdefault(name, []).append(len(self.stack))
+            self.stack.append(made)
+
+    def close(self, name: str) -> None:
+        place = self.places.get(name)
+        if place and place[-1] > 0 and not (name in _INLINE and self._last(_WALLS) > place[-1]):
+            self._cut(place[-1])
+
+
+_P = frozenset(["p"])
+#: Stray end tags of these don't reach out of those.
+_INLINE = frozenset("p b i span a em strong li".split())
+_WALLS = frozenset("article main table".split())
+
+
 def parse(page: str) -> Node:
-    """The tree of a page, scripts, styles and comments left out; linear in the page's length."""
-    root = node = Node("html", "", None)
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
+    """The tree of a page, scripts, styles and comments left out."""
+    tree, at, end, token = _Tree(), 0, len(page), _TOKEN
+    last = page.rfind(">") + 1  # no tag ends beyond
+    while at < last:
+        m = token.search(page, at, last)
         if not m:
-            node.kids.append(page[at:])
             break
-        if m.start() > at:
-            node.kids.append(page[at : m.start()])
+        tree.text(page[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
+        if token is _TOKEN:
+            name, closing, attrs = m[2] or m[5], m[1] or m[4], m[3] or m[6] or ""
+            if m[5] and ('"' in attrs or "'" in attrs):
+                token = _UNQUOTED
+        else:
+            name, closing, attrs = m[2], m[1], m[3] or ""
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = end  # it never ends
             continue
-        name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        name = name.lower()
         if closing:
-            node = _close(node, name)
+            tree.close(name)
         elif name in RAW:
             if not attrs.endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                 past = page.find(">", stop.end()) if stop else -1
                 at = past + 1 if past >= 0 else end
         elif name != "html":
-            node = _open(node, name, attrs)
-    return root
-
-
-def _open(node: Node, name: str, attrs: str) -> Node:
-    if name in _CLOSES_P:
-        node = _implied(node, frozenset(["p"]), _P_SCOPE)
-    if name in _IMPLIED:
-        node = _implied(node, *_IMPLIED[name])
-    made = Node(name, attrs, node)
-    node.kids.append(made)
-    return node if name in VOID else made
-
-
-def _implied(node: Node, ends: frozenset, scope: frozenset) -> Node:
-    at = node
-    found = None
-    while at is not None and at.tag not in scope:
-        if at.tag in ends:
-            found = at
-        at = at.parent
-    return found.parent if found else node
-
-
-def _close(node: Node, name: str) -> Node:
-    at = node
-    while at is not None and at.tag != name:
-        if at.tag in ("article", "main", "table") and name in ("p", "b", "i", "span", "a", "em", "strong", "li"):
-            return node
-        at = at.parent
-    return at.parent if at is not None and at.parent is not None else node
+            tree.open(name, attrs)
+    if at < end:
+        rest = _MARKUP.search(page, max(at, last))
+        tree.text(page[at : rest.start() if rest else end])
+    return tree.root
 
 
 def main_text(page: str | None) -> str:
@@ -161,10 +199,12 @@ def main_text(page: str | None) -> str:
             if len(text) < 2:
                 continue
             value = 1 + text.count(",") + min(len(text) / 100, 3)
-            up, level = (n if n.tag not in _SCORED else n.parent), 0
-            while up is not None:
-                points[id(up)] = points.get(id(up), 0) + (value if level == 0 else value / 2 if level == 1 else value / (2 * (level + 1)))
-                up, level = up.parent, level + 1
+            up = n if n.tag not in _SCORED else n.parent
+            for level in range(1, LEVELS + 1):
+                if up is None:
+                    break
+                points[id(up)] = points.get(id(up), 0) + value / (level if level < 3 else 2 * level)
+                up = up.parent
     best, most = None, 0.0
     final = {}
     for key, value in points.items():
@@ -295,8 +335,9 @@ def _blocks(n: Node, skipped: set[int], blocks: list[str]) -> None:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages.
 
-    Null and empty pages give an empty text, as do pages without any text outside what is set aside. Repeated rows each give
-    a row, an empty table none; other columns are not read.
+    Null and empty pages give an empty text, as do pages without any text outside what is set aside. Pages of any length are read
+    whole, in time linear in it. Among containers with equal points the one whose first paragraph comes first is the article. Repeated
+    rows and null ids each give a row, an empty table none; other columns are not read.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
