@@ -14,6 +14,7 @@ length that a third of the pieces share is spread over many tasks.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from itertools import chain
@@ -31,10 +32,28 @@ PER_SALT = 20_000
 CACHE_WORDS = 700_000
 
 
+#: How a vocabulary with word ends prepares a text. Only with these may words be encoded apart.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def words_apart(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) never joins two words and marks the last token of each."""
+    made = json.loads(tokenizer)
+    model, before = made["model"], (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and (made.get("normalizer") or {}).get("normalizers") == _NORMAL and not made.get("truncation") and not made.get("padding")
+        and before[0].get("pattern") == {"Regex": _CUT} and before[0].get("behavior") == "Removed" and before[0].get("invert") is True
+        and all(b["type"] == "ByteLevel" and not b["add_prefix_space"] and not b["use_regex"] for b in before[1:])
+        and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in made["added_tokens"])
+    )
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, ids of white-space-separated words remembered.
 
-    No token spans white space, so a text's ids are its words' ids in order. New words of Latin letters, with or without
+    Whole texts are given to tokenizers for which ``words_apart`` doesn't hold. Where it does, no token spans white space, so a text's ids are its words' ids in order. New words of Latin letters, with or without
     marks after them, are taken apart: no token holds both letters and marks. The letters need none of the tokenizer's
     normalisers but lower case; runs not met before are encoded many at a time by the same model, and as only the last token
     of a run has the vocabulary's end-of-word suffix, it shows where a run's ids end.
@@ -47,6 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.apart = words_apart(self.tokenizer.to_str())
+        if not self.apart:
+            return
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -54,6 +76,11 @@ class Encoder:
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.apart:
+            out = []
+            for t in texts:  # one at a time: a text may be very long
+                out.append(np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes())
+            return out
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = set(chain.from_iterable(split))
         new = words.difference(self.known)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]|[(\[ ]at[)\] ]|::")
+_HINT = re.compile(r"[0-9@]|[(\[ ]at[)\] ]|[A-Fa-f]:[A-Fa-f]")
 _LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:[(\[]at[)\]]|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]|(?<= )dot(?= )) ?[A-Za-z0-9-]{1,63}){1,8}"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
@@ -95,12 +96,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further candidates that touch no base span; for each kind leftmost, non-overlapping."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
+    out, starts, ends = [], [], []
+    for s, e in sorted((s, e) for _, s, e in base):  # overlapping ones as one
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for k, kind in enumerate(KINDS):
         for m in _LOOSE[kind].finditer(text):
             if kind == "card" and not luhn(_digits(m[0])):
                 continue
-            if not any(s < m.end() and m.start() < e for s, e in taken):
+            near = bisect_right(ends, m.start())  # the first that ends beyond the candidate's start
+            if near == len(ends) or starts[near] >= m.end():
                 out.append((k, *m.span()))
     return out
 
@@ -249,8 +257,9 @@ def detect(docs: DataFrame, labeling: Labeling, id_col: str = "doc_id", text_col
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row of docs.
 
     The four counts and base_sha256 are of the base spans; spans holds all. Offsets are code points, end exclusive. Null
-    and empty texts have no spans (the hash of the empty text, and an empty string). Repeated rows each give a row, an empty
-    table none; other columns are not read.
+    and empty texts have no spans (the hash of the empty text, and an empty string); texts of any length are read whole. Spans of
+    different kinds may overlap and all are listed; ties in start go to the kind listed first. Repeated rows and null ids each give a
+    row, an empty table none; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -270,7 +279,10 @@ def detect(docs: DataFrame, labeling: Labeling, id_col: str = "doc_id", text_col
 
 
 def redact(docs: DataFrame, labeling: Labeling, text_col: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """docs with all spans masked in text and n_chars (where there is one) counted anew; no row goes."""
+    """docs with all spans masked in text and n_chars (where there is one) counted anew; no row goes.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike, long texts whole. An empty table gives no rows.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches):

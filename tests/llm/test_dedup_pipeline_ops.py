@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -278,6 +279,31 @@ def test_pii_learns_proposed_spans(spark, odd):
     assert pii.masked("ab+1 22.33.44.55", [(1, 6, 15), (3, 2, 12)]) == "ab<PHONE>5"
 
 
+def test_pii_is_linear_in_spans():
+    def took(n):
+        text = "mail a@b.com or joe (at) site (dot) com, " * n
+        began = time.perf_counter()
+        assert len(pii.candidates(text)) == 2 * n
+        return time.perf_counter() - began
+
+    took(100)
+    assert min(took(4000) for _ in range(3)) < 5 * min(took(2000) for _ in range(3)) + 0.05
+    assert [s[:3] for s in pii.candidates("host abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd up")] == [(1, 5, 44)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_file(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    plain, made = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = ["", None, "It's  a TEST, of words.\n\n  two\ttabs", "ab\u0301 \u0130stanbul \u00c9t\u00e9 x\u00a0y\u2003z", "<|endoftext|> a<|endoftext|>b", "  ", "caf\u00e9s, 12.5% (na\u00efve)!?", "\u4f60\u597d \U0001f600"]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert made.encode(texts) == want and made.encode(texts) == want
+    assert made.apart == name.startswith("word")
+
+
 def check_packing(rows, texts, capacity=2048):
     from tokenizers import Tokenizer
 
