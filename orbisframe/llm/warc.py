@@ -5,12 +5,17 @@ is whole, so a repeated task only repeats its own file. Files are read through t
 windows; one record at a time is held in memory.
 
 The reader checks each record: the gzip member's CRC, the version line, the length, the closing blank lines and the block
-digest. Where a check fails it searches onward for the next gzip member (or, in plain files, the next version line) that
-starts a valid record, goes on from there, and reports the bytes between as a quarantined gap.
+digest (hex or base32). Where a check fails it searches onward for the next gzip member (or, in plain files, the next version
+line) that starts a valid record, goes on from there, and reports the bytes between as a quarantined gap.
+
+A gzip member may hold any number of records, up to a whole archive in one stream: its inflated bytes are searched as those
+of a plain file are. Of a member that breaks off or fails its CRC, the records before the damage are kept whose own digest
+holds and after which another record begins; their note says so. Records of one member share its byte range.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import small
+from .scratch import Scratch
 
 REVISIT_BYTES = 100
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -28,6 +34,10 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _STEP = 1 << 14
 _WINDOW = 1 << 22
 _MAX_HEAD = 1 << 16
+#: A longer block doesn't fit a row; its record is quarantined with that reason.
+MAX_BLOCK = 1 << 30
+_WHOLE = 1 << 24
+HOT = 1000
 
 
 def _sha1(data: bytes) -> str:
@@ -55,15 +65,26 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, payload, digest, payload_bytes, refers_to), a row for each row of pages.
 
     Of the rows with equal payloads of at least REVISIT_BYTES, those with the smallest id are responses, and the others refer
-    to it. Rows without an id are responses.
+    to it. Rows without an id are responses. Null and empty pages have an empty payload; repeated rows are all responses, or all
+    revisits. An empty table gives no rows; other columns are not read.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    ids = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
-    shared = ids.filter("low < high").select("digest", "low")
-    refers = F.when(F.col("low") < F.col("page_id"), F.col("low"))
-    return rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", "payload_bytes", refers.alias("refers_to"))
+    ids = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("digest")
+    ids = ids.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count("*").alias("n")).filter("low < high")
+    shared = Scratch(pages.sparkSession, "warc-shared").write(ids.select("digest", "low", "n"), "shared")
+    # payloads that over a thousandth of all rows share, fewer than HOT, are told by broadcast; their rows join nothing else
+    often = [bytes(r["digest"]) for r in shared.filter(F.col("n") > pages.count() / HOT).select("digest").collect()]
+    lone = F.unhex(F.hex(F.xxhash64("page_id")))  # eight bytes: no digest
+    told = F.col("digest").isin(often) if often else F.lit(False)
+    rows = rows.withColumn("key", F.when(told | (F.col("payload_bytes") < REVISIT_BYTES), lone).otherwise(F.col("digest")))
+    rows = rows.join(shared.select(F.col("digest").alias("key"), "low"), "key", "left")
+    low = F.col("low")
+    if often:
+        few = shared.filter(told).select("digest", F.col("low").alias("often"))
+        rows, low = rows.join(F.broadcast(few), "digest", "left"), F.coalesce("low", "often")
+    return rows.select("page_id", "url", "payload", "digest", "payload_bytes", F.when(low < F.col("page_id"), low).alias("refers_to"))
 
 
 def write(planned: DataFrame, folder: str) -> int:
@@ -119,74 +140,162 @@ class _Source:
             self.start, self.held = at, self.f.read(max(n, _WINDOW))
         return self.held[at - self.start : at - self.start + n]
 
+    def forget(self, before: int) -> None:
+        pass
+
+
+class _Bytes:
+    """Bytes at hand, read like a source."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def get(self, at: int, n: int) -> bytes:
+        return self.data[at : at + n]
+
+    def forget(self, before: int) -> None:
+        pass
+
+
+class _Member:
+    """The inflated bytes of the gzip member at a place of a source, read forwards; error: why they end early."""
+
+    def __init__(self, source: _Source, at: int):
+        self.source, self.where, self.unpack = source, at, zlib.decompressobj(31)
+        self.start, self.held, self.error, self.size = 0, bytearray(), "", 1 << 62
+
+    def get(self, at: int, n: int) -> bytes:
+        while not self.error and not self.unpack.eof and self.start + len(self.held) < at + n:
+            piece = self.unpack.unconsumed_tail or self.source.get(self.where, _STEP)
+            if not self.unpack.unconsumed_tail:
+                self.where += len(piece)
+            self._inflate(piece)
+        if self.error or self.unpack.eof:
+            self.size = self.start + len(self.held)
+        return bytes(self.held[at - self.start : at - self.start + n])
+
+    def forget(self, before: int) -> None:
+        """What lies before a place isn't asked for again."""
+        if before - self.start > _WINDOW:
+            del self.held[: before - self.start]
+            self.start += before - self.start
+
+    def _inflate(self, piece: bytes) -> None:
+        if not piece:
+            self.error = "the gzip member is cut short"
+            return
+        before = self.unpack.copy()
+        try:
+            self.held += self.unpack.decompress(piece, 1 << 18)
+        except zlib.error as e:
+            self.error = f"gzip: {e}"
+            try:  # what lies before the damage
+                for k in range(len(piece)):
+                    self.held += before.decompress(piece[k : k + 1])
+            except zlib.error:
+                return
+
+    @property
+    def end(self) -> int:
+        """Where the member ends in the source, once it is read to its end."""
+        return self.where - len(self.unpack.unused_data)
+
+
+_NO_VERSION = "no WARC version line"
+
 
 class Damaged(ValueError):
     """A failed check."""
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Fields, block and total length of the record at the start of data."""
+def _parse(data: bytes) -> tuple[dict[str, str], int, int]:
+    """Fields, place of the block and total length of the record whose head starts data."""
     line = _VERSION.match(data)
     end = data.find(b"\r\n\r\n")
     if not line or end < 0:
-        raise Damaged("no WARC version line" if not line else "the header does not end")
+        raise Damaged(_NO_VERSION if not line else "the header does not end")
     fields = {}
     for row in data[line.end() : end].split(b"\r\n"):
         k, _, v = row.partition(b":")
         fields[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
     length = fields.get("content-length", "")
-    if not length.isdigit() or len(length) > 15:
+    if not re.fullmatch("[0-9]{1,15}", length):
         raise Damaged("no content length")
-    stop = end + 4 + int(length)
-    return fields, data[end + 4 : stop], stop + 4
+    return fields, end + 4, end + 8 + int(length)
 
 
-def _checked(fields: dict[str, str], block: bytes, tail: bytes) -> None:
-    if len(block) != int(fields["content-length"]) or tail != b"\r\n\r\n":
-        raise Damaged("the record is cut short or overlong")
-    digest = fields.get("warc-block-digest", "")
-    if re.fullmatch("sha1:[0-9a-f]{40}", digest) and digest != _sha1(block):
-        raise Damaged("the block digest differs")
-
-
-def _gzip_record(source: _Source, at: int):
-    if source.get(at, 3) != _MAGIC:
-        raise Damaged("no gzip member")
-    unpack, out, where = zlib.decompressobj(31), [], at
-    while not unpack.eof:
-        piece = source.get(where, _STEP)
-        if not piece:
-            raise Damaged("the gzip member is cut short")
-        try:
-            out.append(unpack.decompress(piece))
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from e
-        if len(out) == 1 and out[0] and not b"WARC/1.1\r\n".startswith(out[0][:7]) and not out[0].startswith(b"WARC/1."):
-            raise Damaged("no WARC version line")
-        where += len(piece)
-    data = b"".join(out)
-    fields, block, stop = _parse(data)
-    _checked(fields, block, data[stop - 4 :])
-    return fields, block, where - len(unpack.unused_data)
+def digest_holds(said: str, block: bytes) -> bool | None:
+    """Whether a digest field (algorithm:hex or base32) is that of block; None where it can't be told."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    made, value = hashlib.new(name, block).digest(), value.strip().rstrip("=")
+    if len(value) == 2 * len(made):
+        return value.lower() == made.hex()
+    packed = base64.b32encode(made).decode().rstrip("=")
+    return value.upper() == packed if len(value) == len(packed) else None
 
 
-def _plain_record(source: _Source, at: int):
+def _record(source, at: int):
+    """(fields, block, end, verified) of the record at a place; verified: its own digest holds."""
     head = source.get(at, 4096)
-    if b"\r\n\r\n" not in head:
+    if b"\r\n\r\n" not in head and _VERSION.match(head):
         head = source.get(at, _MAX_HEAD)
-    fields, _, stop = _parse(head)
-    end = head.find(b"\r\n\r\n") + 4
+    fields, body, stop = _parse(head)
+    if stop - body > MAX_BLOCK:
+        raise Damaged("the record is larger than a row may be")
     if at + stop > source.size:
         raise Damaged("the record is cut short or overlong")
-    block = source.get(at + end, stop - 4 - end)
-    _checked(fields, block, source.get(at + stop - 4, 4))
-    return fields, block, at + stop
+    block = source.get(at + body, stop - body)
+    if len(block) != stop - body or block[-4:] != b"\r\n\r\n":
+        raise Damaged("the record is cut short or overlong")
+    block = block[:-4]
+    verified = digest_holds(fields.get("warc-block-digest", ""), block)
+    if verified is False:
+        raise Damaged("the block digest differs")
+    return fields, block, at + stop, verified is True
+
+
+def _records(source) -> Iterator[tuple]:
+    """("record", start, end, fields, block, verified) and ("gap", start, end, reason, None, False) of bytes that aren't packed."""
+    at, gap, reason = 0, -1, ""
+    while source.get(at, 1):
+        source.forget(at)
+        try:
+            fields, block, end, verified = _record(source, at)
+        except Damaged as e:
+            if gap < 0:
+                gap, reason = at, str(e)
+            at = _next(source, at + 1, False)
+            continue
+        if gap >= 0:
+            yield "gap", gap, at, reason, None, False
+            gap = -1
+        yield "record", at, end, fields, block, verified
+        at = end
+    if gap >= 0:
+        yield "gap", gap, at, reason, None, False
 
 
-def _next(source: _Source, at: int, packed: bool) -> int:
-    """The next place from at on that may start a record; the size where there is none."""
-    while at < source.size:
-        piece = source.get(at, _WINDOW)
+def _member_records(source: _Source, at: int) -> tuple[Iterator[tuple], int, str]:
+    """The records and gaps of the gzip member at a place, where it ends, and why it breaks off (empty: it doesn't)."""
+    if source.get(at, 3) != _MAGIC:
+        return iter(()), at, "no gzip member"
+    member_ = _Member(source, at)
+    member_.get(0, _WHOLE)
+    if member_.unpack.eof or member_.error:
+        return _records(_Bytes(bytes(member_.held))), member_.end, member_.error
+    place = _WHOLE  # too long to hold: once to see whether it is whole, then again for the records
+    while len(member_.get(place, _WINDOW)) == _WINDOW:
+        place += _WINDOW
+        member_.forget(place)
+    return _records(_Member(source, at)), member_.end, member_.error
+
+
+def _next(source, at: int, packed: bool) -> int:
+    """The next place from at on that may start a record; the end where there is none."""
+    while piece := source.get(at, _WINDOW):
         if packed:
             found = piece.find(_MAGIC)
         else:
@@ -194,30 +303,54 @@ def _next(source: _Source, at: int, packed: bool) -> int:
             found = m.start() if m else -1
         if found >= 0:
             return at + found
-        if at + len(piece) >= source.size:
-            break
-        at += max(1, len(piece) - 16)
-    return source.size
+        if len(piece) < _WINDOW:
+            return at + len(piece)
+        at += len(piece) - 16
+        source.forget(at)
+    return min(at, source.size)
+
+
+def _kept(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Of a damaged member: the records whose digest holds and after which the version line of another follows."""
+    before = None
+    for kind, start, stop, what, block, verified in found:
+        if before and before[2] == start and (kind == "record" or what != _NO_VERSION):
+            yield before
+        before = (kind, start, stop, what, block) if kind == "record" and verified else None
 
 
 def salvage(f, size: int) -> Iterator[tuple]:
-    """("record", start, end, fields, block) and ("gap", start, end, reason, None), in order, covering the file."""
-    source, at = _Source(f, size), 0
-    gap, reason = -1, ""
-    packed = source.get(0, 3) == _MAGIC or not _VERSION.match(source.get(0, 16)) and _next(source, 0, True) < _next(source, 0, False)
-    read = _gzip_record if packed else _plain_record
+    """("record", start, end, fields, block) and ("gap", start, end, reason, None), in order, covering the file.
+
+    In gzip files the places are those of members; a gap within a member names its inflated bytes in the reason.
+    """
+    source = _Source(f, size)
+    if source.get(0, 3) != _MAGIC and (_VERSION.match(source.get(0, 16)) or _next(source, 0, False) <= _next(source, 0, True)):
+        for kind, start, end, what, block, _ in _records(source):
+            yield kind, start, end, what, block
+        return
+    at, gap, reason = 0, -1, ""
     while at < size:
-        try:
-            fields, block, end = read(source, at)
-        except Damaged as e:
-            if gap < 0:
-                gap, reason = at, str(e)
-            at = _next(source, at + 1, packed)
-            continue
-        if gap >= 0:
-            yield "gap", gap, at, reason, None
-            gap = -1
-        yield "record", at, end, fields, block
+        found, end, error = _member_records(source, at)
+        if error:
+            end = _next(source, at + 1, True)
+        some, first = False, ""
+        for kind, start, stop, what, block in _kept(found) if error else (r[:5] for r in found):
+            if kind == "gap":
+                first = first or f"{what} (inflated bytes {start} to {stop})"
+                continue
+            if gap >= 0:
+                yield "gap", gap, at, reason, None
+                gap = -1
+            if first and not error:
+                yield "gap", at, end, first, None
+                first = ""
+            some = True
+            yield "record", at, end, what | {"salvaged": error} if error else what, block
+        if some and (error or first):
+            yield "gap", at, end, error or first, None
+        elif not some and gap < 0:
+            gap, reason = at, error or first or "an empty gzip member"
         at = end
     if gap >= 0:
         yield "gap", gap, size, reason, None
@@ -254,7 +387,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         else:
                             payload = block.partition(b"\r\n\r\n")[2] if what.get("content-type", "").startswith("application/http") else block
                             length = what.get("x-payload-length", "")
-                            held.append((path, start, end, kind, what.get("warc-type"), what.get("warc-record-id"), what.get("warc-target-uri"), what.get("warc-refers-to"), what.get("warc-payload-digest"), int(length) if length.isdigit() else None, payload, None))
+                            held.append((path, start, end, kind, what.get("warc-type"), what.get("warc-record-id"), what.get("warc-target-uri"), what.get("warc-refers-to"), what.get("warc-payload-digest"), int(length) if re.fullmatch("[0-9]{1,18}", length) else None, payload, what.get("salvaged")))
                             heavy += len(payload)
                         if len(held) >= 2000 or heavy > 1 << 24:
                             yield batch(held)

@@ -1,5 +1,6 @@
 """Licences, WARC, HTML, chat and SpotSigs against brute force, SQL and edge cases."""
 
+import base64
 import gzip
 import hashlib
 import html
@@ -87,6 +88,56 @@ def test_salvage_recovers_after_damage(packed):
     assert salvaged(b"") == [] and [k for k, *_ in salvaged(b"nothing at all")] == ["gap"]
 
 
+def test_members_with_many_records():
+    """One stream, damage inside a member, and damage to the member itself."""
+    parts = sample()
+    found = salvaged(warc.member(b"".join(parts)))
+    assert [(k, f["warc-record-id"]) for k, _, _, f, _ in found] == [("record", f"<urn:page:{i}>") for i in range(6)]
+    assert len({(s, e) for _, s, e, _, _ in found}) == 1
+    bad = parts[1].replace(b"body 1", b"body X", 1)
+    found = salvaged(warc.member(parts[0] + bad + parts[2]) + warc.member(parts[3]))
+    assert [k for k, *_ in found] == ["record", "gap", "record", "record"] and "digest" in found[1][3] and "inflated bytes" in found[1][3]
+    import random
+
+    rng = random.Random(1)
+    noisy = [warc.record("resource", {"WARC-Record-ID": f"<urn:page:{i}>"}, rng.randbytes(60_000)) for i in range(4)]
+    one = bytearray(warc.member(b"".join(noisy)))
+    one[2 * len(one) // 3 :] = b""
+    found = salvaged(bytes(one) + warc.member(parts[3]))
+    assert [k for k, *_ in found] == ["record", "record", "gap", "record"] and found[-1][3]["warc-record-id"] == "<urn:page:3>"
+
+
+def test_long_streams_are_read_in_windows(monkeypatch):
+    monkeypatch.setattr(warc, "_WHOLE", 3000)
+    monkeypatch.setattr(warc, "_WINDOW", 700)
+    parts = sample(40)
+    found = salvaged(warc.member(b"".join(parts[:20]) + b"junk" + b"".join(parts[20:])))
+    assert [k for k, *_ in found] == ["record"] * 20 + ["gap"] + ["record"] * 20
+    monkeypatch.setattr(warc, "_STEP", 100)
+    found = salvaged(warc.member(b"".join(parts[:20]) + b"junk" + b"".join(parts[20:])))
+    assert [k for k, *_ in found] == ["record"] * 20 + ["gap"] + ["record"] * 20
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_digests_in_base32(packed):
+    block = b"some block"
+    good = base64.b32encode(hashlib.sha1(block).digest()).decode()
+    for said, fine in ((f"sha1:{good}", True), (f"sha1:{good[:-1]}A", False), (f"SHA-256:{hashlib.sha256(block).hexdigest()}", True), ("md5:" + "0" * 32, False), ("odd:1", True), ("sha1:short", True)):
+        record = b"WARC/1.0\r\nWARC-Block-Digest: " + said.encode() + b"\r\nContent-Length: 10\r\n\r\n" + block + b"\r\n\r\n"
+        assert [k for k, *_ in salvaged(warc.member(record) if packed else record)] == ["record" if fine else "gap"], said
+
+
+def test_shared_payloads_are_split(spark, monkeypatch):
+    """Payloads that many rows share, told by broadcast, beside others and short ones."""
+    rows = [(i, "u", "h" * 200 if i % 3 else "s" * 9 if i % 2 else f"x{i // 12}" * 99) for i in range(300)] + [(None, "u", "h" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: (1 if i % 3 and i != 1 else None if i % 2 or i % 3 or i % 12 == 0 else i // 12 * 12) for i in range(300)}
+    for hot in (1000, 3):
+        monkeypatch.setattr(warc, "HOT", hot)
+        got = warc.plan_records(pages).collect()
+        assert len(got) == 301 and {r.page_id: r.refers_to for r in got if r.page_id is not None} == want
+
+
 def test_reader_reads_files_and_logs_gaps(spark, tmp_path):
     parts = [warc.member(r) for r in sample(3)]
     folder = warc_file(tmp_path, parts[0] + parts[1][:40] + parts[2])
