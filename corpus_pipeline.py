@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbisframe.llm import decontaminate, langid, packing, pii, simhash
 from orbisframe.llm.queries import tokenizer_path
-from orbisframe.llm.scratch import Scratch
+from orbisframe.llm.scratch import Scratch, released
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, the document with the smallest id; rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    return docs.join(found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each near-duplicate component, the row with the smallest id; a row goes only for its own text, whatever shares its id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +51,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = scratch.write(out, name) if k < len(STAGES) - 1 else out
-    return docs
+    scratch, last = Scratch(spark, "pipeline"), ""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        with released():  # what the stage wrote for itself goes as soon as its result is written
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)
+        last = name
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
             up = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
             labels = labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
             labels = scratch.write(labels, f"{name}-l{k}")
+            scratch.drop(f"{name}-s0" if k == 1 else f"{name}-l{k - 1}")
         left = step.select(F.col("node").alias("a"), F.col("root").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("y"))
         moved = e.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -38,6 +39,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         e = scratch.write(_clean(moved), f"{name}-e{k}")
         scratch.drop(f"{name}-e{k - 1}")
         scratch.drop(f"{name}-p{k - 1}")
+        if k > 1:  # the first round's step is the first labels
+            scratch.drop(f"{name}-s{k - 1}")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return labels

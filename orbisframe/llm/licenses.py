@@ -4,7 +4,8 @@ Every place of a file that speaks of licensing gives windows of words around the
 line breaks on both sides; a licence file (by its name) gives its whole text, too. An SPDX tag that names a template's licence
 (the first of an expression, without -only, -or-later or +) scores 1. A window is scored against each template by the cosine of sparse TF-IDF
 vectors; words that no template has count in the window's length as the rarest words do. The document frequencies of the
-templates' words are counted over all files. A file's own licence is the best score of at least ``THRESHOLD``. Files
+templates' words are counted over all files. A file's own licence is the best score of at least ``THRESHOLD``,
+of the licences in ``WEAK`` only where no other has one; equal scores go to the first by name. Files
 without one inherit from the deepest ancestor directory that holds a licence file with one, by joins on the path.
 """
 
@@ -22,25 +23,62 @@ from .arrow import small
 from .scratch import Scratch
 
 THRESHOLD = 0.7
-#: The notices by which each licence is known.
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+)
+_MIT_HEAD = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+_MIT_TAIL = (
+    ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR '
+    "A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY"
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to "
+    "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+    "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+    "compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+#: The notices, titles and texts by which each licence is known.
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "ISC": ("Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT license", _MIT_HEAD, _MIT_HEAD + _MIT_TAIL),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
+    "EPL-2.0": ("This program is made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License - v 2.0"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", _BOOST),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", f"{_BSD_HEAD}: {_BSD_TWO}{_BSD_TAIL}"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", f"{_BSD_HEAD}: {_BSD_TWO}{_BSD_THIRD}{_BSD_TAIL}"),
+    "BSD": (_BSD_HEAD,),
+    "ISC": ("Licensed under the ISC License", _ISC),
+    "Zlib": ("Licensed under the zlib License", _ZLIB),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights. CC0 1.0",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", _UNLICENSE),
     "Proprietary": ("All rights reserved.", "Confidential and proprietary. All rights reserved."),
 }
-CUE = r"(?i)licen[cs]|copyright|rights\W+reserved|public\W+domain|permission\W+is\W+hereby|permission\W+to\W+use|redistribution\W+and\W+use|creative\W+commons|waived\W+all"
+#: These say least: they count only in a file where no other licence reaches the threshold.
+WEAK = ("BSD", "Proprietary")
+CUE = r"(?i)licen[cs]|copyright|rights\W+reserved|public\W+domain|permission\W+is\W+hereby|permission\W+to\W+use|permission\W+is\W+granted|redistribution\W+and\W+use|creative\W+commons|waived\W+all"
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 _CUE, _FILE = re.compile(CUE), re.compile(LICENCE_FILE)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -56,43 +94,58 @@ def words(text: str) -> list[str]:
 class Scorer:
     """Cosines to the templates under given document frequencies."""
 
-    def __init__(self, frequency: dict[str, int], n: int, templates: dict[str, tuple[str, ...]] = TEMPLATES):
+    def __init__(self, frequency: dict[str, int], n: int, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.rarest = math.log(1 + n) + 1
         self.idf = {w: math.log((1 + n) / (1 + min(n, frequency.get(w, 0)))) + 1 for w in vocabulary(templates)}
-        self.vectors = []
+        self.templates: list[str] = []
+        self.holds: dict[str, list[tuple[int, float]]] = {}
+        sizes = []
         for name in sorted(templates):
             for text in templates[name]:
-                v, norm = self._vector(words(text))
-                self.vectors.append((name, v, norm))
+                tokens = words(text)
+                v, norm = self._vector(tokens)
+                for w, x in v.items():
+                    self.holds.setdefault(w, []).append((len(self.templates), x / norm))
+                self.templates.append(name)
+                sizes.append(len(tokens))
         self.names = {name.lower(): name for name in templates}
-        self.sizes = sorted({len(words(t)) for texts in templates.values() for t in texts})
+        self.sizes = sorted(set(sizes))
+        self.of_size = {s: {k for k, n in enumerate(sizes) if s <= 2 * n and n <= 2 * s} for s in self.sizes}
 
     def _vector(self, tokens: list[str]) -> tuple[dict[str, float], float]:
         counts = Counter(tokens)
         v = {w: c * self.idf.get(w, self.rarest) for w, c in counts.items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
-    def best(self, tokens: list[str]) -> tuple[float, str | None]:
-        """The highest cosine and its licence; ties go to the first by name."""
+    def cosines(self, tokens: list[str]) -> dict[int, float]:
+        """Of the templates that share a word."""
         v, norm = self._vector(tokens)
-        found: tuple[float, str | None] = (0.0, None)
-        for name, t, size in self.vectors:
-            score = sum(x * t[w] for w, x in v.items() if w in t) / (norm * size) if norm else 0.0
-            if score > found[0] + 1e-12:
-                found = (score, name)
-        return found
+        out: dict[int, float] = {}
+        for w, x in v.items():
+            for k, y in self.holds.get(w, ()):
+                out[k] = out.get(k, 0.0) + x * y / norm
+        return out
 
     def scan(self, path: str | None, text: str | None) -> tuple[float, str | None]:
         """The best of a file's windows: (score, licence)."""
+        found: dict[str, float] = {}
         if not text:
             return 0.0, None
-        found = (0.0, None)
+
+        def note(tokens: list[str], size: int | None) -> None:
+            for k, score in self.cosines(tokens).items():
+                if size is None or k in self.of_size[size]:
+                    name = self.templates[k]
+                    found[name] = max(found.get(name, 0.0), score)
+
         if _FILE.search((path or "").rsplit("/", 1)[-1]):
-            found = self.best(words(text))
+            note(words(text), None)
         low = text.lower()
         for m in _SPDX.finditer(low):
             name = self.names.get(re.sub("-only$|-or-later$", "", m[1]))
-            found = max(found, (1.0 if name else 0.0, name), key=lambda f: f[0])
+            if name:
+                found[name] = 1.0
         places = list(_WORD.finditer(low))
         tokens, starts = [m[0] for m in places], [m.start() for m in places]
         seen = set()
@@ -102,11 +155,17 @@ class Scorer:
             for size in self.sizes:
                 first, step = max(0, cue - size + 1), max(1, size // 8)
                 for start in sorted({*range(first, cue + 1, step), *range(max(first, line), cue + 1, step)}):
-                    window = tuple(tokens[start : start + size])
-                    if window not in seen:
-                        seen.add(window)
-                        found = max(found, self.best(list(window)), key=lambda f: f[0])
-        return found
+                    if (size, start) not in seen:
+                        seen.add((size, start))
+                        note(tokens[start : start + size], size)
+        return self.best(found)
+
+    def best(self, found: dict[str, float]) -> tuple[float, str | None]:
+        """The licence of a file from the best score of each."""
+        order = sorted(found, key=lambda g: (-round(found[g], 9), g))
+        strong = [g for g in order if g not in WEAK and found[g] >= self.threshold]
+        first = (strong or order or [None])[0]
+        return (min(1.0, found[first]), first) if first else (0.0, None)
 
 
 def vocabulary(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[str]:
@@ -130,8 +189,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     """Add own_license, own_score, license, license_from and how to path and the other columns but text.
 
     how is "own", "inherited" or "none"; license_from is the path that declares it. Within a directory the licence file with the
-    best score counts, then the first by path. Null and empty texts declare nothing; a null path inherits nothing.
-    Repeated rows each give a row, an empty table none. Columns with these names are replaced.
+    best score counts, then the first by path. Null and empty texts declare nothing, texts of any length are searched whole; a null
+    path inherits nothing. Repeated rows each give a row, an empty table none. Columns with these names are replaced.
     """
     out_cols = ("own_license", "own_score", "license", "license_from", "how")
     frequency, n = frequencies(files, text_col, templates)
@@ -144,7 +203,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(*sent.value, templates)
+        scorer = Scorer(*sent.value, templates, threshold)
         for b in small(batches):
             found = [scorer.scan(p, t) for p, t in zip(b.column(place).to_pylist(), b.column(width).to_pylist(), strict=True)]
             names = pa.array([f[1] if f[0] >= threshold else None for f in found], type=pa.string())

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,19 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes, at the end, the folders of every Scratch made inside."""
+    mark = len(_OPEN)
+    yield
+    for made in _OPEN[mark:]:
+        made.drop()
+    del _OPEN[mark:]
+
+
 class Scratch:
     """A folder of Parquet tables for one run of one operator; what is left goes when the driver ends."""
 
@@ -35,6 +50,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._leave)
+        _OPEN.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return what was written, with no lineage beyond the files."""

@@ -20,6 +20,7 @@ from itertools import accumulate, combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from .arrow import small
 from .graph import components
@@ -32,6 +33,7 @@ TILE = 4096
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 KEYS = tuple(combinations(range(len(BLOCKS)), 2))
 N_PIVOTS = 16
+HOT = 1000
 
 
 #: The reference fingerprints, from a fixed generator.
@@ -89,6 +91,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with fp, the fingerprint as a signed long, as last column."""
+    place, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField("fp", LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in small(batches):
+            fps = np.fromiter((fingerprint(t) for t in b.column(place).to_pylist()), dtype=np.uint64, count=b.num_rows)
+            yield b.append_column("fp", pa.array(fps.view(np.int64)))
+
+    return docs.mapInArrow(run, schema)
+
+
+def of_sortable(kind: DataType) -> bool:
+    """Whether values of a type can be ordered: all can but maps and variants, and what holds them."""
+    said = kind.simpleString()
+    return "map<" not in said and "variant" not in said
+
+
 def _key(fp: str, n: int) -> Column:
     """The n-th pair of blocks of a fingerprint, tagged with n."""
     (s0, w0), (s1, w1) = (BLOCKS[b] for b in KEYS[n])
@@ -182,20 +204,70 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, tile: int
     return keyed.mapInArrow(run, "a long, b long")
 
 
+def _components(prints: DataFrame, scratch: Scratch, max_bits: int, tile: int) -> DataFrame:
+    """Of the distinct fingerprints of prints (doc_id, fp): fp, the rows n, the smallest id first_id (no_id: none has one), how many
+    rows have that id too (same), and the smallest fingerprint that links reach (root); written."""
+    each = prints.groupBy("fp", "doc_id").agg(F.count("*").alias("same"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("first_id"), F.col("same").alias("same")))
+    classes = each.groupBy("fp").agg(first.alias("f"), F.sum("same").alias("n")).select("fp", "f.no_id", "f.first_id", "f.same", "n")
+    classes = scratch.write(classes, "classes")
+    found = components(links(classes, scratch, max_bits, tile), scratch)
+    rooted = classes.join(found, classes.fp == found.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+    return scratch.write(rooted, "rooted")
+
+
+def _often(classes: DataFrame, rows: int) -> list[int]:
+    """The fingerprints that over a thousandth of all rows share: fewer than HOT."""
+    return [r["fp"] for r in classes.filter(F.col("n") > rows / HOT).select("fp").collect()]
+
+
+def _told(rows: DataFrame, by_fp: DataFrame, often: list[int]) -> DataFrame:
+    """rows joined to by_fp on fp; the rows of frequent fingerprints by broadcast, so that none gathers in a task."""
+    if not often:
+        return rows.join(by_fp, "fp")
+    hot = F.col("fp").isin(often)
+    return rows.filter(hot).join(F.broadcast(by_fp.filter(hot)), "fp").unionByName(rows.filter(~hot).join(by_fp.filter(~hot), "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """One row per row of docs: (doc_id, fingerprint, component_id).
 
     fingerprint has 16 hex digits; component_id is the smallest non-null id among the documents that links reach.
     Null texts and texts without words have fingerprint zero and link like any other; rows with a null id keep it and
-    get the component of their text (null if nobody in it has an id). Repeated rows each give a row. An empty table
-    gives no rows. Other columns of docs are not read.
+    get the component of their text (null if nobody in it has an id). Texts of any length are read whole. Repeated rows each
+    give a row. An empty table gives no rows. Other columns of docs are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs, id_col, text_col), "prints")
-    classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    found = components(links(classes, scratch, max_bits, tile), scratch)
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _components(prints, scratch, max_bits, tile)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    joined = prints.join(scratch.write(named, "named"), "fp")
+    named = scratch.write(rooted.join(smallest, "root").select("fp", "component_id"), "named")
+    joined = _told(prints, named, _often(rooted, prints.count()))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
+    """The rows of docs, all columns, but one row only of each near-duplicate component.
+
+    It is the row with the smallest id (rows without an id come last); of rows that share id and fingerprint, the first by all
+    columns. Nulls, empty texts, repeated ids and repeated rows thus follow the one rule; a row goes only for its own text, whatever
+    else has its id. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    cols = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    plain = docs.toDF(*cols)
+    of_id, of_text = cols[docs.columns.index(id_col)], cols[docs.columns.index(text_col)]
+    marked = scratch.write(with_fingerprint(plain, of_text), "marked")
+    prints = marked.select(F.col(of_id).alias("doc_id"), "fp")
+    rooted = _components(prints, scratch, max_bits, tile)
+    first = F.min(F.struct("no_id", "first_id", "fp", "same"))
+    kept = scratch.write(rooted.groupBy("root").agg(first.alias("k")).select("k.fp", F.col("k.first_id").alias("kept_id"), "k.same"), "kept")
+    match = F.col(of_id).eqNullSafe(F.col("kept_id"))
+    unique, repeated = kept.filter("same = 1").drop("same"), kept.filter("same > 1").drop("same")
+    out = marked.join(unique, [marked.fp == unique.fp, match], "left_semi").select(*cols)
+    if not repeated.isEmpty():
+        several = marked.join(repeated, [marked.fp == repeated.fp, match], "left_semi")
+        order = [F.col(c) if of_sortable(docs.schema.fields[k].dataType) else F.to_json(F.struct(c)) for k, c in enumerate(cols)]
+        one = several.groupBy("fp", F.col(of_id)).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("r"))
+        out = out.unionByName(one.select("r.*"))
+    return out.toDF(*docs.columns)

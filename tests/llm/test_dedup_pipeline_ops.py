@@ -407,3 +407,23 @@ def test_model_stays_small_for_many_languages():
     total = sum(len(t.encode()) for ts in texts.values() for t in ts)
     assert entries <= 2 * (langid.ORDER + 1) * total
     assert langid.predict(model, [ts[0][:200] for _, ts in sorted(texts.items())])[0] == sorted(texts)
+
+
+def test_keep_one_by_row(spark, monkeypatch):
+    """Repeated ids, null ids, repeated rows and odd column names."""
+    text = {n: f"document {n} " + " ".join(f"w{n}x{k}" for k in range(30)) for n in range(9)}
+    rows = [
+        (1, text[0], "a"), (1, text[1], "b"), (2, text[0], "c"),  # id 1 has a group of its own and another text
+        (None, text[2], "d"), (None, text[2], "e"), (None, text[3], "f"), (5, text[3], "g"),
+        (6, text[4], "h"), (6, text[4], "h"), (6, text[4], "a"), (7, None, "i"), (8, "", "j"), (None, "  ", "k"), (9, text[5], None),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, fp string").selectExpr("*", "map('a', 1) as same", "2 as root")
+    want = [(1, text[0], "a"), (1, text[1], "b"), (None, text[2], "d"), (5, text[3], "g"), (6, text[4], "a"), (7, None, "i"), (9, text[5], None)]
+    key = lambda r: (str(r[0]), str(r[1]))
+    kept = simhash.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text, r.fp) for r in kept.collect()), key=key) == sorted(want, key=key)
+    assert simhash.keep_one(table.limit(0)).count() == 0
+    plain = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(table).collect()}
+    monkeypatch.setattr(simhash, "HOT", 6)
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(table).collect()} == plain

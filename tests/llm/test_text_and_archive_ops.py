@@ -386,7 +386,39 @@ def test_spdx_tags():
     scorer = licenses.Scorer({}, 10_000)
     said = {"MIT": "MIT", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0+": "GPL-2.0", "(Apache-2.0 OR MIT)": "Apache-2.0", "BSD-3-Clause": "BSD-3-Clause", "cc0-1.0": "CC0-1.0"}
     assert {tag: scorer.scan("x.c", f"// SPDX-License-Identifier: {tag}\nint x;") for tag in said} == {tag: (1.0, name) for tag, name in said.items()}
-    assert scorer.scan("x.c", "// SPDX-License-Identifier: EPL-2.0\nint x;")[0] < licenses.THRESHOLD
+    assert scorer.scan("x.c", "// SPDX-License-Identifier: Ruby\nint x;")[0] < licenses.THRESHOLD
+
+
+def test_kinds_of_bsd_and_weak_notices():
+    scorer = licenses.Scorer({}, 10_000)
+    own = "Copyright (c) 2020, The Someone Project. All rights reserved.\n\n"
+    two, three = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][1]
+    two, three = (t.replace("COPYRIGHT HOLDERS AND", "REGENTS AND") for t in (two, three))
+    for lead in ("", "# "):
+        wrap = lambda t, lead=lead: "\n".join(lead + x for x in textwrap.wrap(own + t, 76))
+        assert scorer.scan("LICENSE", wrap(two))[1] == "BSD-2-Clause"
+        assert scorer.scan("a.c", wrap(three) + "\nint main() {}\n" * 50)[1] == "BSD-3-Clause"
+    assert scorer.scan("a.c", "Licensed under the BSD 2-Clause License")[1] == "BSD-2-Clause"
+    assert scorer.scan("a.c", own)[1] == "Proprietary"
+    assert scorer.scan("a.c", licenses._BSD_HEAD)[1] == "BSD"
+    assert scorer.scan("LICENSE", own + licenses._MIT_HEAD + licenses._MIT_TAIL)[1] == "MIT"
+    assert scorer.scan("COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + "preamble words " * 900 + "version 3 of the GNU Affero General Public License")[1] == "GPL-3.0"
+    long = "word " * 400_000 + "\nReleased under the MIT License.\n" + "word " * 100_000
+    assert scorer.scan("a.c", long) == (1.0, "MIT")
+    assert scorer.scan("a.c", "Licensed under CC BY 4.0. Released under the MIT License.") == (1.0, "CC-BY-4.0")  # a tie: the first by name
+
+
+def test_license_score_is_the_cosine():
+    import math
+
+    frequency = {"released": 50, "under": 900, "the": 1000, "mit": 3, "license": 20}
+    scorer = licenses.Scorer(frequency, 1000)
+    idf = lambda w: math.log(1001 / (1 + frequency.get(w, 0))) + 1
+    said, known = "issued under the mit license".split(), "released under the mit license".split()
+    dot = sum(idf(w) ** 2 for w in said if w in known)
+    want = dot / math.sqrt(sum(idf(w) ** 2 for w in known)) / math.sqrt(sum((idf(w) if w in known else scorer.rarest) ** 2 for w in said))
+    got = scorer.cosines(said)
+    assert max(got[k] for k, name in enumerate(scorer.templates) if name == "MIT") == pytest.approx(want)
 
 
 def test_license_query(spark):
