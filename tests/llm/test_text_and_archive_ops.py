@@ -431,3 +431,66 @@ def test_license_query(spark):
     want = plain_inherit({r.path: r.own_license for r in rows})
     assert {r.path: (r.license, r.how) for r in rows} == want
     assert any(r.how == "inherited" for r in rows)
+
+
+def test_similar_matches_brute_force(spark):
+    """Classes and links of all documents, near copies of them, and copies."""
+    import random
+
+    rng = random.Random(2)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in texts[:60]:
+        words = t.split(" ")
+        for share in (0.01, 0.03, 0.08):
+            texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in words))
+    texts += texts[:5] + ["the same rare words here"] * 30 + [f"of boiler {i % 3} plate for all of the many texts" for i in range(40)]
+    sets = [frozenset(covering_signatures(t)) for t in texts]
+    first, want = {}, {}
+    for i, x in enumerate(sets):
+        first.setdefault(x, i)
+    distinct = list(first)
+    for x in distinct:
+        want[x] = sum(1 for y in distinct if y != x and len(x & y) >= 0.8 * len(x | y) - 1e-12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.similar(docs).collect()}
+    assert got == {i: (first[x], want[x]) for i, x in enumerate(sets)} and sum(want.values()) > 50
+    tiled = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.similar(docs, tile=3).collect()}
+    assert tiled == got
+    plan = spotsigs.similar(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_similar_odd_rows(spark):
+    rows = [(3, LONG), (1, None), (None, ""), (None, "the of"), (2, "of the"), (2, "of the"), (9, "¡¿ !!"), (9, "¡¿ !!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sid", "2 as sigs", "3 as rows", "4 as n")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in spotsigs.similar(docs).collect()), key=str)
+    assert got == sorted([(3, 3, 0), (1, 1, 0), (None, 1, 0), (None, None, 0), (2, 2, 0), (2, 2, 0), (9, 9, 0), (9, 9, 0)], key=str)
+    assert spotsigs.similar(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        spotsigs.similar(docs, likeness_=0)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double", "date", "decimal(20,2)", "hot", "nulls", "wide", "shared"])
+def test_next_row_by_any_id(spark, kind):
+    import random
+
+    rng = random.Random(4)
+    ids = [rng.randrange(-500, 500) for _ in range(400)]
+    if kind == "hot":
+        ids = [7 if rng.random() < 0.5 else i for i in ids]
+    elif kind == "wide":
+        ids = [(1 << 62) + i // 3 for i in ids]
+    elif kind == "nulls":
+        ids = [None if rng.random() < 0.5 else i for i in ids]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    if kind == "shared":
+        docs = docs.selectExpr("concat('http://one/', lpad(doc_id + 600, 8, '0')) as doc_id", "text")
+    elif kind == "date":
+        docs = docs.selectExpr("date_add(date'2020-01-01', cast(doc_id as int)) as doc_id", "text")
+    elif kind not in ("hot", "wide", "nulls"):
+        docs = docs.selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    rows = sorted(((r.doc_id is not None, r.doc_id, r.h, r.text) for r in docs.selectExpr("*", "xxhash64(text) as h").collect()), key=lambda r: r[:3] if r[0] else (False, 0, r[2]))
+    want = {r[3]: rows[(k + 1) % len(rows)][3] for k, r in enumerate(rows)}
+    for per in (3, 50, 10_000):
+        got = spotsigs.with_next(docs, per_bucket=per).collect()
+        assert len(got) == 400 and {r.text: r.next_text for r in got} == want, per
