@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import small
+from .scratch import Scratch
 
 ERROR_RATE = 0.05
 MIN_CHARS = 20
@@ -173,9 +174,10 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text_col: str =
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and benchmark item that occurs in it: (doc_id, item_id, distance, start, end).
 
-    distance is the smallest number of edits, start and end the code points of the first such place, widened to whole words. Items
-    whose normal form is shorter than min_chars match whole words without edits; null items, items without words, and null or empty texts match nothing. Repeated rows of
-    docs each give their rows, repeated items one. Empty tables give no rows; other columns are not read.
+    distance is the smallest number of edits, start and end the code points of the first such place (of those, the one that ends
+    first, and of its beginnings the last), widened to whole words. Items whose normal form is shorter than min_chars match whole words
+    without edits; null items, items without words, and null or empty texts match nothing. Items and texts of any length are matched
+    whole. Repeated rows of docs each give their rows, repeated items one. Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     kind, of = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
@@ -203,10 +205,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item, by the same matching; all columns stay."""
-    spark = docs.sparkSession
+    """docs without the rows whose text holds a benchmark item, by the same matching; all columns stay.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged alike, texts of any length whole. What one block leaves is
+    written before the next, so that a worker never holds two. Empty tables change nothing.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontaminate")
     place, out = docs.columns.index(text_col), docs
-    for block in item_blocks(benchmark, "item_id", "text", block_chars):
+    for n, block in enumerate(item_blocks(benchmark, "item_id", "text", block_chars)):
+        if n:
+            out = scratch.write(out, f"b{n}")
+            if n > 1:
+                scratch.drop(f"b{n - 1}")
         sent = spark.sparkContext.broadcast(block)  # bounded by block_chars
 
         def run(batches, sent=sent):

@@ -427,3 +427,39 @@ def test_keep_one_by_row(spark, monkeypatch):
     plain = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(table).collect()}
     monkeypatch.setattr(simhash, "HOT", 6)
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(table).collect()} == plain
+
+
+def test_decontamination_places_match_brute_force(spark):
+    """Distance and place of each item by the whole table of distances, and very long items and texts."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    items = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(8, 20))) for i in range(12)}
+    texts = {}
+    for d in range(40):
+        parts = [rng.choice(words) for _ in range(30)]
+        if d % 2:
+            noisy = list(items[d % 12])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(noisy))
+                noisy[at : at + 1] = rng.choice([[], ["z"], [noisy[at], "z"]])
+            parts[10:10] = ["".join(noisy)]
+        texts[d] = " ".join(parts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.start, r.end) for r in decontaminate.contamination(docs, bench).collect()}
+    want = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            scores = plain_distance(item, text)
+            low = min(scores)
+            if low <= int(0.05 * len(item)):
+                want[d, i] = (low, scores.index(low))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) > 10
+    for (d, i), (_, start, end) in got.items():
+        low, stop = want[d, i]
+        assert min(plain_distance(items[i], texts[d][start:end])) == low and start < stop <= end < stop + 5
+        assert (start == 0 or texts[d][start - 1] == " ") and (end == len(texts[d]) or texts[d][end] == " ")
+    long = " ".join(f"item{k}" for k in range(4000))
+    rows = [(1, "x " * 200_000 + long.replace("item77 ", "it77 ") + " y" * 200_000), (2, "x " * 500_000)]
+    found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, long)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.distance, r.start) for r in found] == [(1, 2, 400_000)]
