@@ -116,10 +116,9 @@ class _Tree:
 
     def _implied(self, ends: frozenset, scope: frozenset) -> None:
         """End the outermost open element of ends that lies within the innermost of scope."""
-        inner = self._last(ends)
-        if inner < 0:
+        if not any(map(self.places.get, ends)):
             return
-        limit = self._last(scope)
+        inner, limit = self._last(ends), self._last(scope)
         if inner > limit:
             firsts = (p[bisect_right(p, limit)] for p in map(self.places.get, ends) if p and p[-1] > limit)
             self._cut(min(firsts))
@@ -137,7 +136,10 @@ class _Tree:
 
     def close(self, name: str) -> None:
         place = self.places.get(name)
-        if place and place[-1] > 0 and not (name in _INLINE and self._last(_WALLS) > place[-1]):
+        if place and place[-1] == len(self.stack) - 1 > 0:
+            self.stack.pop()
+            place.pop()
+        elif place and place[-1] > 0 and not (name in _INLINE and self._last(_WALLS) > place[-1]):
             self._cut(place[-1])
 
 

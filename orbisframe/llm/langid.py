@@ -34,7 +34,7 @@ FIT_TOTAL = 16_000_000
 SPAN = 2_000
 #: A lang column with more values than this is no language column.
 MAX_LANGS = 10_000
-_PART = 1 << 18
+_PART = 1 << 19
 _ALNUM = re.compile(r"[^\W\d_]+")
 
 
@@ -51,6 +51,18 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _places(unique: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places in unique, which is sorted and holds all grams: by a table of hashes, and by search where two share an entry."""
+    shift = np.uint64(64 - max(8, int(len(unique)).bit_length() + 3))
+    mixed = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
+    table = np.zeros(1 << 64 - int(shift), dtype=np.int32)
+    table[mixed(unique)] = np.arange(len(unique), dtype=np.int32)
+    out = table[mixed(grams)]
+    wrong = np.flatnonzero(unique[out] != grams)
+    out[wrong] = np.searchsorted(unique, grams[wrong])
+    return out
+
+
 @dataclass
 class Tree:
     """By order: grams (context and byte as one number) with their bits, contexts with the bits of an escape."""
@@ -151,7 +163,7 @@ class Model:
             of, gram = of[new], gram[new]
         unique = np.sort(gram)
         unique = unique[np.flatnonzero(np.diff(unique, prepend=-1))]
-        place, text = np.searchsorted(unique, gram), np.array([k for k, _, _ in held])
+        place, text = _places(unique, gram), np.array([k for k, _, _ in held])
         for n, tree in enumerate(self.trees):
             out[:, n] += np.bincount(text, weights=np.bincount(of, weights=tree.code(unique, ORDER)[place], minlength=len(held)), minlength=len(out))
 

@@ -166,10 +166,11 @@ class _Member:
 
     def get(self, at: int, n: int) -> bytes:
         while not self.error and not self.unpack.eof and self.start + len(self.held) < at + n:
+            before = self.unpack.copy() if self.held else None
             piece = self.unpack.unconsumed_tail or self.source.get(self.where, _STEP)
             if not self.unpack.unconsumed_tail:
                 self.where += len(piece)
-            self._inflate(piece)
+            self._inflate(piece, before)
         if self.error or self.unpack.eof:
             self.size = self.start + len(self.held)
         return bytes(self.held[at - self.start : at - self.start + n])
@@ -180,15 +181,15 @@ class _Member:
             del self.held[: before - self.start]
             self.start += before - self.start
 
-    def _inflate(self, piece: bytes) -> None:
+    def _inflate(self, piece: bytes, before) -> None:
+        """Add what a piece inflates to; before: the state to go back to, none at the member's start."""
         if not piece:
             self.error = "the gzip member is cut short"
             return
-        before = self.unpack.copy()
         try:
             self.held += self.unpack.decompress(piece, 1 << 18)
         except zlib.error as e:
-            self.error = f"gzip: {e}"
+            self.error, before = f"gzip: {e}", before or zlib.decompressobj(31)
             try:  # what lies before the damage
                 for k in range(len(piece)):
                     self.held += before.decompress(piece[k : k + 1])
