@@ -156,34 +156,40 @@ class Geometry:
     def _edges(self):
         return [(a, b) for p in self.polygons for r in p for a, b in zip(r, r[1:] + r[:1], strict=True)]
 
-    def intersection(self, other: Geometry) -> Geometry:
-        """Of polygons without holes, the other's parts convex."""
+    def _overlay(self, other: Geometry, keep) -> Geometry:
         crs_.check_compatible(self.crs, other.crs)
-        made = [_clip(p[0], _counter(q[0])) for p in self.polygons for q in other.polygons if len(p) == len(q) == 1]
-        if any(len(p) > 1 for p in (*self.polygons, *other.polygons)) or not all(_convex(q[0]) for q in other.polygons):
-            raise ValueError("intersection needs polygons without holes, the second convex")
-        return Geometry(polygons=[[r] for r in made if len(r) > 2 and abs(_area(r)) > 0], crs=self.crs)
+        return Geometry(polygons=_overlay(self._edges(), other._edges(), keep), crs=self.crs)
+
+    def intersection(self, other: Geometry) -> Geometry:
+        """What lies in both: areas of polygons, and points that lie in the other."""
+        made = self._overlay(other, lambda a, b: a and b)
+        made.points = sorted({p for p in self.points if other.contains_xy(*p)} | {p for p in other.points if self.contains_xy(*p)})
+        return made
 
     def difference(self, other: Geometry) -> Geometry:
-        """What the other's convex parts leave, cut into polygons along their edges."""
-        crs_.check_compatible(self.crs, other.crs)
-        left = [p[0] for p in self.polygons]
-        for q in other.polygons:
-            left = [piece for r in left for piece in _outside(r, _counter(q[0]))]
-        return Geometry(polygons=[[r] for r in left], crs=self.crs)
+        """What lies in the first alone."""
+        made = self._overlay(other, lambda a, b: a and not b)
+        made.points = [p for p in self.points if not other.contains_xy(*p)]
+        return made
 
     def union(self, other: Geometry) -> Geometry:
-        """The first's parts, and what of the second lies outside them."""
-        return Geometry(self.points + other.points, self.polygons + other.difference(self).polygons, self.crs)
+        """What lies in either."""
+        made = self._overlay(other, lambda a, b: a or b)
+        area = Geometry(polygons=self.polygons + other.polygons, crs=self.crs)
+        made.points = sorted({p for p in (*self.points, *other.points) if not area.contains_xy(*p)})
+        return made
 
     def symmetric_difference(self, other: Geometry) -> Geometry:
-        return Geometry(polygons=self.difference(other).polygons + other.difference(self).polygons, crs=self.crs)
+        """What lies in one alone."""
+        made = self._overlay(other, lambda a, b: a != b)
+        made.points = [p for p in self.points if not other.contains_xy(*p)] + [p for p in other.points if not self.contains_xy(*p)]
+        return made
 
     def __eq__(self, other) -> bool:
-        if not isinstance(other, Geometry) or not self.crs == other.crs:
+        """The same system and the same place, however the rings are written."""
+        if not isinstance(other, Geometry) or not self.crs == other.crs or set(self.points) != set(other.points):
             return False
-        norm = lambda g: (sorted(g.points), sorted([sorted(r) for r in p] for p in g.polygons))
-        return norm(self) == norm(other)
+        return bool(self.polygons) == bool(other.polygons) and not _overlay(self._edges(), other._edges(), lambda a, b: a != b)
 
     __hash__ = None
 
@@ -231,11 +237,12 @@ class Geometry:
     __geo_interface__ = property(to_geojson)
 
     def to_wkt(self) -> str:
-        ring = lambda r: "(" + ", ".join(f"{x:g} {y:g}" for x, y in (*r, r[0])) + ")"
+        pair = lambda v: " ".join(str(int(c)) if c.is_integer() and abs(c) < 1e15 else repr(c) for c in v)
+        ring = lambda r: "(" + ", ".join(map(pair, (*r, r[0]))) + ")"
         if self.polygons:
             parts = ["(" + ", ".join(ring(r) for r in p) + ")" for p in self.polygons]
             return f"POLYGON {parts[0]}" if len(parts) == 1 else f"MULTIPOLYGON ({', '.join(parts)})"
-        return f"POINT ({self.points[0][0]:g} {self.points[0][1]:g})" if len(self.points) == 1 else "MULTIPOINT (" + ", ".join(f"({x:g} {y:g})" for x, y in self.points) + ")"
+        return f"POINT ({pair(self.points[0])})" if len(self.points) == 1 else "MULTIPOINT (" + ", ".join(f"({pair(p)})" for p in self.points) + ")"
 
     def to_wkb(self) -> bytes:
         """Little-endian WKB of a point, polygon, multipoint or multipolygon."""
@@ -283,37 +290,113 @@ def _convex(r: Ring) -> bool:
     return all(t >= 0 for t in turns) or all(t <= 0 for t in turns)
 
 
-def _counter(r: Ring) -> Ring:
-    return r if _area(r) > 0 else r[::-1]
-
-
-def _half(r: Ring, a, b, keep: int) -> Ring:
-    """The part of r on the left (keep 1) or right (-1) of the line from a to b."""
-    out: Ring = []
-    for p, q in zip(r, r[1:] + r[:1], strict=True):
-        s, t = keep * _turn(a, b, p), keep * _turn(a, b, q)
-        if s >= 0:
-            out.append(p)
-        if s * t < 0:
-            u = s / (s - t)
-            out.append((p[0] + u * (q[0] - p[0]), p[1] + u * (q[1] - p[1])))
-    return out
-
-
-def _clip(r: Ring, convex: Ring) -> Ring:
-    for a, b in zip(convex, convex[1:] + convex[:1], strict=True):
-        r = _half(r, a, b, 1) if r else r
-    return r
-
-
-def _outside(r: Ring, convex: Ring) -> list[Ring]:
-    out = []
-    for a, b in zip(convex, convex[1:] + convex[:1], strict=True):
-        off = _half(r, a, b, -1) if r else []
-        if len(off) > 2 and abs(_area(off)) > 0:
-            out.append(off)
-        r = _half(r, a, b, 1) if r else r
-    return out
+def _overlay(first: list, second: list, keep) -> list[list[Ring]]:
+    """The polygons where keep(inside the first, inside the second) holds, by the edges of both.
+
+    The plane is cut into slabs at the heights of all vertices and crossings. Within a slab no edges cross, so walking along it from
+    left to right tells where the wanted area begins and ends. Sides of these trapezoids, and the parts of slab borders with area
+    on one side only, are the outline, which is then followed into rings.
+    """
+    edges = [(*min(e, key=lambda v: v[1]), *max(e, key=lambda v: v[1]), k) for k, es in enumerate((first, second)) for e in es if e[0][1] != e[1][1]]
+    if not edges:
+        return []
+    size = max(max(map(abs, e[:4])) for e in edges) or 1.0
+    near = size * 1e-12
+    heights = {y for e in edges for y in (e[1], e[3])}
+    for n, (ax, ay, bx, by, _) in enumerate(edges):
+        for cx, cy, dx, dy, _ in edges[:n]:
+            turn = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if turn:
+                t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / turn, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / turn
+                if 0 < t < 1 and 0 <= u <= 1:
+                    heights.add(ay + t * (by - ay))
+    levels: list[float] = []
+    for y in sorted(heights):
+        if not levels or y - levels[-1] > near:
+            levels.append(y)
+    at = lambda e, y: e[0] + (e[2] - e[0]) * (min(max(y, e[1]), e[3]) - e[1]) / (e[3] - e[1])
+    known: dict[float, list[float]] = {y: [] for y in levels}
+
+    def corner(x: float, y: float) -> tuple[float, float]:
+        for v in known[y]:
+            if abs(v - x) <= 8 * near:
+                return v, y
+        known[y].append(x)
+        return x, y
+
+    steps: dict[tuple, list] = {}  # from a corner to others, the area on the left
+    floors: dict[float, list[tuple[float, float]]] = {y: [] for y in levels}
+    roofs: dict[float, list[tuple[float, float]]] = {y: [] for y in levels}
+    for low, high in zip(levels, levels[1:], strict=False):
+        middle = (low + high) / 2
+        here = sorted(((at(e, middle), e) for e in edges if e[1] < middle < e[3]), key=lambda p: p[0])
+        inside, was, k = [False, False], False, 0
+        while k < len(here):
+            x, e = here[k]
+            while k < len(here) and here[k][0] - x <= near:  # edges that lie on each other count together
+                inside[here[k][1][4]] ^= True
+                k += 1
+            now = bool(keep(*inside))
+            if now != was:
+                a, b = corner(at(e, low), low), corner(at(e, high), high)
+                steps.setdefault(b if now else a, []).append(a if now else b)
+                (floors[low] if now else roofs[low]).append(a[0])
+                known.setdefault(("top", high), []).append(b[0])
+            was = now
+    for y in levels:
+        below = sorted(known.get(("top", y), []))
+        above = sorted(floors[y] + roofs[y])
+        cuts = sorted({*below, *above})
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            mid = (a + b) / 2
+            under, over = (sum(v < mid for v in side) % 2 == 1 for side in (below, above))
+            if under != over:
+                p, q = ((a, y), (b, y)) if over else ((b, y), (a, y))
+                steps.setdefault(p, []).append(q)
+    return _nested([_straight(r) for r in _follow(steps)])
+
+
+def _follow(steps: dict[tuple, list]) -> list[Ring]:
+    """Rings along the steps; at a corner with several ways on, the one that turns left most keeps rings apart."""
+    rings = []
+    while steps:
+        start = next(iter(steps))
+        ring, here, before = [], start, None
+        while True:
+            ways = steps[here]
+            if before is not None and len(ways) > 1:
+                angle = lambda w, here=here, before=before: -math.atan2(
+                    (here[0] - before[0]) * (w[1] - here[1]) - (here[1] - before[1]) * (w[0] - here[0]), (here[0] - before[0]) * (w[0] - here[0]) + (here[1] - before[1]) * (w[1] - here[1])
+                )
+                ways.sort(key=angle)
+            there = ways.pop(0)
+            if not ways:
+                del steps[here]
+            ring.append(here)
+            before, here = here, there
+            if here == start or here not in steps:
+                break
+        rings.append(ring)
+    return rings
+
+
+def _straight(r: Ring) -> Ring:
+    """Without the corners at which a ring doesn't turn."""
+    size = max(max(map(abs, v)) for v in r) or 1.0
+    out = [v for k, v in enumerate(r) if abs(_turn(r[k - 1], v, r[(k + 1) % len(r)])) > 1e-12 * size * max(math.dist(r[k - 1], v), math.dist(v, r[(k + 1) % len(r)]))]
+    return out if len(out) > 2 else []
+
+
+def _nested(rings: list[Ring]) -> list[list[Ring]]:
+    """Polygons of counter-clockwise shells and the clockwise holes in them."""
+    rings = [r for r in rings if r]
+    made = [[r] for r in sorted((r for r in rings if _area(r) > 0), key=_area)]
+    for h in (r for r in rings if _area(r) < 0):
+        x, y = (h[0][0] + h[1][0]) / 2, (h[0][1] + h[1][1]) / 2
+        holder = next((p for p in made if _in_ring(p[0], x, y) > 0), None) or next((p for p in made if all(_in_ring(p[0], *v) >= 0 for v in h)), None)
+        if holder:
+            holder.append(h)
+    return made
 
 
 def _thin(r: Ring, tolerance: float) -> Ring:

@@ -6,6 +6,8 @@ NULL. ``keys`` are the columns that tell pixels apart: (row, col), and image_id
 
 from __future__ import annotations
 
+import copy
+import itertools
 import math
 from dataclasses import dataclass, replace
 
@@ -55,8 +57,15 @@ class Grid:
         return (y - f) * (a / det) - (x - c) * (d / det), (x - c) * (e / det) - (y - f) * (b / det)
 
 
+_NUMBERS = itertools.count()
+
+
 class Image(EarthObject):
-    """A raster over a frame of (keys..., bands...)."""
+    """A raster over a frame of (keys..., bands...).
+
+    Pointwise operators don't make a frame: they add columns, under numbered names, to the frame that the image came from (the
+    root), and say which of them are bands. Images of one root thus combine without a join.
+    """
 
     keys = ("row", "col")
 
@@ -67,7 +76,23 @@ class Image(EarthObject):
         if gone:
             raise ValueError(f"the frame lacks {gone}")
         self._bands = [c for c in df.columns if c not in self.keys]
-        self.df = df
+        self._root, self._frame = df, df
+        self._made: dict[int, dict[str, Column]] = {}  # columns by the number of their step, in order
+        self._at = {b: b for b in self._bands}
+
+    @property
+    def df(self) -> DataFrame:
+        """The frame of keys and bands."""
+        if self._frame is None:
+            made = self._root
+            for step in sorted(self._made):
+                made = made.withColumns(self._made[step])
+            self._frame = made.select(*self.keys, *[F.col(f"`{self._at[b]}`").alias(b) for b in self._bands])
+        return self._frame
+
+    def _col(self, band: str) -> Column:
+        """The column that a band is, under the root."""
+        return F.col(f"`{self._at[band]}`")
 
     @classmethod
     def from_table(cls, df: DataFrame, grid: Grid, nodata: float | None = None, metadata: dict | None = None, keys: tuple[str, ...] | None = None) -> Image:
@@ -96,10 +121,9 @@ class Image(EarthObject):
         if any(i.grid != images[0].grid for i in images):
             raise ValueError("the images differ in shape, transform or coordinate system")
         names = band_names or [f"B{k + 1}" for k in range(len(images))]
-        df = images[0].df.select(*images[0].keys, F.col(images[0].bands[0]).alias(names[0]))
-        for image, name in zip(images[1:], names[1:], strict=True):
-            df = df.join(image.df.select(*image.keys, F.col(image.bands[0]).alias(name)), list(image.keys))
-        return cls(df, images[0].grid, keys=images[0].keys)
+        first = images[0].select(0, [names[0]])
+        mine, theirs, how = first._beside([i.select(0) for i in images[1:]])
+        return first._with(mine | {n: c[0] for n, c in zip(names[1:], theirs, strict=True)}, **how)
 
     # access
     @property
@@ -139,13 +163,34 @@ class Image(EarthObject):
 
     __hash__ = object.__hash__
 
-    def _with(self, columns: dict[str, Column], grid: Grid | None = None, df: DataFrame | None = None) -> Image:
-        made = type(self)((df or self.df).select(*self.keys, *[c.alias(b) for b, c in columns.items()]), grid or self.grid, dict(self._metadata), self.keys)
-        made._history = list(self._history)
-        return made
+    def _with(self, columns: dict[str, Column], grid: Grid | None = None, df: DataFrame | None = None, made: dict | None = None) -> Image:
+        """An image of these bands: columns over df, which becomes a root of its own, or else over the root and the steps made."""
+        if df is not None:
+            out = type(self)(df.select(*self.keys, *[c.alias(b) for b, c in columns.items()]), grid or self.grid, dict(self._metadata), self.keys)
+        else:
+            out, step = copy.copy(self), next(_NUMBERS)
+            out.grid, out._metadata, out._bands, out._frame = grid or self.grid, dict(self._metadata), list(columns), None
+            out._at = {b: f"__{step}_{k}" for k, b in enumerate(columns)}
+            out._made = {**(self._made if made is None else made), step: {out._at[b]: c for b, c in columns.items()}}
+        out._history = list(self._history)
+        return out
 
     def _each(self, f) -> Image:
-        return self._with({b: f(F.col(f"`{b}`")) for b in self._bands})
+        return self._with({b: f(self._col(b)) for b in self._bands})
+
+    def _beside(self, others: list[Image], prefix: str = "__") -> tuple[dict[str, Column], list[list[Column]], dict]:
+        """One's own bands, the others' bands, and what _with needs to combine them: a join only where roots differ."""
+        if all(o._root is self._root for o in others):
+            made = dict(self._made)
+            for o in others:
+                made |= o._made
+            return {b: self._col(b) for b in self._bands}, [[o._col(b) for b in o.bands] for o in others], {"made": made}
+        df, theirs = self.df, []
+        for n, o in enumerate(others):
+            names = [f"{prefix}{n}_{k}" for k in range(o.count)]
+            df = df.join(o.df.select(*o.keys, *[F.col(f"`{b}`").alias(name) for b, name in zip(o.bands, names, strict=True)]), list(self.keys))
+            theirs.append([F.col(name) for name in names])
+        return {b: F.col(f"`{b}`") for b in self._bands}, theirs, {"df": df}
 
     # projections
     def select(self, bands, new_names: list[str] | None = None) -> Image:
@@ -154,7 +199,9 @@ class Image(EarthObject):
         if unknown:
             raise KeyError(f"no band {unknown}; there are {self._bands}")
         out = new_names if new_names and len(new_names) == len(names) else names
-        return self._with({o: F.col(f"`{b}`") for o, b in zip(out, names, strict=True)})
+        made = self._with({o: F.col(f"`{b}`") for o, b in zip(out, names, strict=True)})
+        made._at, made._made = {o: self._at[b] for o, b in zip(out, names, strict=True)}, self._made  # no column is new
+        return made
 
     def rename(self, names: list[str]) -> Image:
         if len(names) != self.count:
@@ -167,16 +214,12 @@ class Image(EarthObject):
         if (self.width, self.height) != (other.width, other.height):
             raise ValueError("the images differ in shape")
         crs_.check_compatible(self.crs, other.crs)
-        if other.df is self.df:
-            joined, theirs = self.df, [F.col(f"`{b}`") for b in other.bands]
-        else:
-            right = other.df.select(*other.keys, *[F.col(f"`{b}`").alias(f"__{k}") for k, b in enumerate(other.bands)])
-            joined, theirs = self.df.join(right, list(self.keys)), [F.col(f"__{k}") for k in range(other.count)]
         if self.count != other.count and 1 not in (self.count, other.count):
             raise ValueError("the images differ in their number of bands")
         names = self._bands if self.count >= other.count else other.bands
-        mine = [F.col(f"`{b}`") for b in self._bands]
-        return self._with({b: f(mine[k % self.count], theirs[k % other.count]) for k, b in enumerate(names)}, df=joined)
+        mine, (theirs,), how = self._beside([other])
+        mine = list(mine.values())
+        return self._with({b: f(mine[k % self.count], theirs[k % other.count]) for k, b in enumerate(names)}, **how)
 
     def add(self, o):
         return self._pair(o, m.add)
@@ -214,15 +257,13 @@ class Image(EarthObject):
 
     def expression(self, text: str, bands: dict | None = None) -> Image:
         """One band ``expression``; all bands are in scope by name, and bands adds names for others, numbers or one-band images."""
-        scope = {b: F.col(f"`{b}`") for b in self._bands}
-        df = self.df
+        images = {n: v.select(0) for n, v in (bands or {}).items() if isinstance(v, Image)}
+        scope, theirs, how = self._beside(list(images.values()))
+        scope |= {n: c[0] for n, c in zip(images, theirs, strict=True)}
         for name, v in (bands or {}).items():
-            if isinstance(v, Image):
-                df = df.join(v.df.select(*v.keys, F.col(f"`{v.bands[0]}`").alias(f"__{name}")), list(self.keys))
-                scope[name] = F.col(f"__{name}")
-            else:
+            if name not in images:
                 scope[name] = scope[v] if isinstance(v, str) and v in scope else v
-        return self._with({"expression": compile_expression(text, scope)}, df=df)
+        return self._with({"expression": compile_expression(text, scope)}, **how)
 
     def find_band(self, options) -> str:
         """By exact name, then by name inside another without case, else the first option."""
@@ -239,11 +280,11 @@ class Image(EarthObject):
         name = given or self.find_band(BANDS[role])
         if name not in self._bands:
             raise KeyError(f"no band {name!r}; there are {self._bands}")
-        return F.col(f"`{name}`")
+        return self._col(name)
 
     def normalizedDifference(self, bands) -> Image:
         a, b = bands
-        return self._with({"nd": m.normalized_difference(F.col(f"`{a}`"), F.col(f"`{b}`"))})
+        return self._with({"nd": m.normalized_difference(self._col(a), self._col(b))})
 
     def _nd(self, one: str, two: str, given, name: str) -> Image:
         return self._with({name: m.normalized_difference(self._band(one, given[0]), self._band(two, given[1]))})
@@ -295,15 +336,13 @@ class Image(EarthObject):
     def where(self, condition: Image, value) -> Image:
         condition = condition.select(0)
         if isinstance(value, Image):
-            theirs = value.df.select(*value.keys, *[F.col(f"`{b}`").alias(f"__v{k}") for k, b in enumerate(value.bands)])
-            cond = condition.df.select(*condition.keys, F.col(f"`{condition.bands[0]}`").alias("__c"))
-            df = self.df.join(theirs, list(self.keys)).join(cond, list(self.keys))
-            return self._with({b: m.where(F.col(f"`{b}`"), "__c", f"__v{k % value.count}") for k, b in enumerate(self._bands)}, df=df)
+            mine, (cond, theirs), how = self._beside([condition, value])
+            return self._with({b: m.where(c, cond[0], theirs[k % value.count]) for k, (b, c) in enumerate(mine.items())}, **how)
         return self._pair(condition, lambda x, c: m.where(x, c, value))
 
     def mask(self) -> Image:
         """1.0 where the first band is there, 0.0 where it is missing."""
-        return self._with({"mask": F.col(f"`{self._bands[0]}`").isNotNull().cast("double")})
+        return self._with({"mask": self._col(self._bands[0]).isNotNull().cast("double")})
 
     def _unary(name):  # noqa: N805
         return lambda self: self._each(m.UNARY[name])
@@ -317,7 +356,7 @@ class Image(EarthObject):
         known = known or (self.get("scale", self.get("scale_factor", 1.0)), self.get("offset", self.get("add_offset", 0.0)))
         s, o = known[0] if scale is None else scale, known[1] if offset is None else offset
         left = {b.lower() for b in (*QA_BANDS, *(exclude_bands or ()))}
-        made = self._with({b: F.col(f"`{b}`") if b.lower() in left else m.add(m.multiply(F.col(f"`{b}`"), float(s)), float(o)) for b in self._bands})
+        made = self._with({b: self._col(b) if b.lower() in left else m.add(m.multiply(self._col(b), float(s)), float(o)) for b in self._bands})
         return made.set("scaled", True)
 
     def clear(self, qa_band: str | None = None, method: str = "auto") -> tuple[Column, Column]:
@@ -328,7 +367,7 @@ class Image(EarthObject):
         low = qa_band.lower()
         if method == "auto":
             method = next((k for k in ("fmask", "scl", "qa60") if k in low), "landsat_c2" if "qa" in low or "pixel" in low else "fmask")
-        qa = F.col(f"`{qa_band}`")
+        qa = self._col(qa_band)
         bits = qa.cast("long")
         if method == "scl":
             ok = bits.isin(*SCL_CLEAR)
@@ -407,26 +446,73 @@ class Image(EarthObject):
         values = self.df.select(*other, F.col("row").alias("__r"), F.col("col").alias("__c"), *[F.col(f"`{b}`") for b in self._bands])
         return reads.join(values, [*other, "__r", "__c"])
 
-    def _scattered(self, offsets: list[tuple[int, int, float]]) -> DataFrame:
-        """The same neighbours without a join: each pixel is sent to every position that reads it, mirrored ones included.
+    def _tiled(self, offsets: list[tuple[int, int, float]], kind: str) -> DataFrame:
+        """(keys, bands): each band's weighted mean or median under a kernel, mirrored at the edges, inside square tiles.
 
-        A symmetric kernel reads pixel (r, c) from t where t + d, reflected, is (r, c); t is r - d, or its mirror images
-        -1 - r - d and 2 n - 1 - r - d where those fall inside. Kernels up to the raster's size need no further images.
+        A pixel is sent to its own tile and to those within the kernel's reach, a halo of a tenth of the pixels at a reach of 3. A
+        position is given out where some pixel of its kernel is in the frame; a mean is missing where its centre is.
         """
-
-        def readers(at: str, n: int, delta: int):
-            i = F.col(at)
-            images = [i - delta, -1 - i - delta, 2 * n - 1 - i - delta]
-            return F.filter(F.array(*images), lambda t: (t >= 0) & (t < n))
-
-        cells = F.array(*[F.struct(readers("row", self.height, dr).alias("rs"), readers("col", self.width, dc).alias("cs"), F.lit(w).alias("w")) for dr, dc, w in offsets])
-        sent = self.df.select(*[k for k in self.keys if k not in ("row", "col")], *[F.col(f"`{b}`") for b in self._bands], F.explode(cells).alias("k"))
-        sent = sent.select("*", F.explode("k.rs").alias("row")).select("*", F.explode("k.cs").alias("col"))
-        return sent.select(*self.keys, F.col("k.w").alias("__w"), *[F.col(f"`{b}`") for b in self._bands])
-
-    def _neighbours(self, offsets) -> DataFrame:
         reach = max(max(abs(dr), abs(dc)) for dr, dc, _ in offsets)
-        return self._scattered(offsets) if reach < min(self.width, self.height) else self._around(offsets)
+        side, height, width, bands, keys = max(64, 8 * reach), self.height, self.width, self.bands, list(self.keys)
+        other = [k for k in keys if k not in ("row", "col")]
+        tiles = lambda at, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - reach) / side)).cast("int"), F.least(F.lit((n - 1) // side), F.floor((F.col(at) + reach) / side)).cast("int"))
+        sent = self.df.select("*", F.explode(tiles("row", height)).alias("__tr")).select("*", F.explode(tiles("col", width)).alias("__tc"))
+
+        def run(pdf):
+            import numpy as np
+            import pandas as pd
+
+            top, left = int(pdf["__tr"].iloc[0]) * side, int(pdf["__tc"].iloc[0]) * side
+            size = side + 2 * reach
+            at = (pdf["row"].to_numpy() - top + reach, pdf["col"].to_numpy() - left + reach)
+            fine = (at[0] >= 0) & (at[0] < size) & (at[1] >= 0) & (at[1] < size)
+            at = (at[0][fine], at[1][fine])
+
+            def mirrored(first, n):
+                """For each place of the padded tile, where its value lies in it; places beyond the mirror image stay."""
+                there = np.arange(first - reach, first - reach + size)
+                turned = there % (2 * n)
+                turned = np.where(turned < n, turned, 2 * n - 1 - turned) - first + reach
+                return np.where((turned >= 0) & (turned < size), turned, np.arange(size))
+
+            rows, cols = mirrored(top, height), mirrored(left, width)
+            there = np.zeros((size, size), dtype=bool)
+            there[at] = True
+            there = there[np.ix_(rows, cols)]
+            shift = lambda a, dr, dc: a[reach + dr : reach + dr + side, reach + dc : reach + dc + side]
+            given = np.zeros((side, side), dtype=bool)
+            for dr, dc, _ in offsets:
+                given |= shift(there, dr, dc)
+            given[max(0, height - top) :], given[:, max(0, width - left) :] = False, False
+            r, c = np.nonzero(given)
+            out = {k: pdf[k].iloc[0] for k in other} | {"row": (r + top).astype("int32"), "col": (c + left).astype("int32")}
+            for b in bands:
+                full = np.full((size, size), np.nan)
+                full[at] = pdf[b].to_numpy(dtype=float)[fine]
+                full = full[np.ix_(rows, cols)]
+                if kind == "median":
+                    values = np.sort(np.stack([shift(full, dr, dc)[r, c] for dr, dc, _ in offsets]), axis=0)
+                    n = np.count_nonzero(~np.isnan(values), axis=0)
+                    pick = lambda k, values=values: np.take_along_axis(values, np.maximum(k, 0)[None], axis=0)[0]
+                    made = np.where(n > 0, (pick((n - 1) // 2) + pick(n // 2)) / 2, np.nan)
+                else:
+                    total, weight = np.zeros(len(r)), np.zeros(len(r))
+                    for dr, dc, w in offsets:
+                        v = shift(full, dr, dc)[r, c]
+                        known = ~np.isnan(v)
+                        total[known] += w * v[known]
+                        weight[known] += w
+                    made = np.where(np.isnan(shift(full, 0, 0)[r, c]) | (weight == 0), np.nan, total / np.where(weight == 0, 1, weight))
+                out[b] = pd.Series(made).astype("Float64").where(~np.isnan(made), None)
+            return pd.DataFrame(out)[[*keys, *bands]]
+
+        kinds = {f.name: f.dataType.simpleString() for f in self.df.schema.fields}
+        schema = ", ".join([*(f"`{k}` {'int' if k in ('row', 'col') else kinds[k]}" for k in keys), *(f"`{b}` double" for b in bands)])
+        return sent.groupBy(*other, "__tr", "__tc").applyInPandas(run, schema)
+
+    def _fits(self, offsets) -> bool:
+        """Whether the kernel is smaller than the raster, so that a mirror image never reaches past the other edge."""
+        return max(max(abs(dr), abs(dc)) for dr, dc, _ in offsets) < min(self.width, self.height)
 
     @staticmethod
     def kernel(radius: int, kind: str = "circle") -> list[tuple[int, int, float]]:
@@ -439,7 +525,10 @@ class Image(EarthObject):
 
     def focal_mean(self, radius: int = 3, kernel: str = "circle") -> Image:
         """Weighted mean of the neighbours that are there; a missing centre stays missing."""
-        near = self._neighbours(self.kernel(radius, kernel))
+        offsets = self.kernel(radius, kernel)
+        if self._fits(offsets):
+            return self._with({b: F.col(f"`{b}`") for b in self._bands}, df=self._tiled(offsets, "mean"))
+        near = self._around(offsets)
         # the centre comes along as one more term, so that no join back is needed
         mid = self.df.select(*self.keys, F.lit(None).cast("double").alias("__w"), *[F.col(f"`{b}`") for b in self._bands])
         both = near.unionByName(mid).groupBy(*self.keys)
@@ -451,7 +540,11 @@ class Image(EarthObject):
         return F.when(F.max(F.when(F.col("__w").isNull(), F.col(f"`{band}`"))).isNotNull(), value)
 
     def focal_median(self, radius: int = 3) -> Image:
-        near = self._neighbours(self.kernel(radius, "square"))
+        """Of a square; positions with a missing centre get one, too."""
+        offsets = self.kernel(radius, "square")
+        if self._fits(offsets):
+            return self._with({b: F.col(f"`{b}`") for b in self._bands}, df=self._tiled(offsets, "median"))
+        near = self._around(offsets)
         out = near.groupBy(*self.keys).agg(*[F.median(F.col(f"`{b}`")).alias(b) for b in self._bands])
         return self._with({b: F.col(f"`{b}`") for b in self._bands}, df=out)
 
@@ -470,8 +563,8 @@ class Image(EarthObject):
 
     def focal_std(self, radius: int = 3) -> Image:
         """sqrt(max(E[x^2] - E[x]^2, 0)) under a circle, from one expansion."""
-        both = self._with({**{b: F.col(f"`{b}`") for b in self._bands}, **{f"{b}__sq": m.multiply(F.col(f"`{b}`"), F.col(f"`{b}`")) for b in self._bands}}).focal_mean(radius)
-        spread = lambda b: F.sqrt(m.clamp(F.col(f"`{b}__sq`") - F.col(f"`{b}`") * F.col(f"`{b}`"), 0, float("inf")))
+        both = self._with({**{b: self._col(b) for b in self._bands}, **{f"{b}__sq": m.multiply(self._col(b), self._col(b)) for b in self._bands}}).focal_mean(radius)
+        spread = lambda b: F.sqrt(m.clamp(both._col(f"{b}__sq") - both._col(b) * both._col(b), 0, float("inf")))
         return both._with({f"{b}_std": spread(b) for b in self._bands})
 
     def gradients(self) -> Image:
@@ -480,7 +573,7 @@ class Image(EarthObject):
 
         def slope(along: str, by: str, n: int) -> Column:
             w = Window.partitionBy(*other, by).orderBy(along)
-            x = F.col(f"`{self._bands[0]}`")
+            x = self._col(self._bands[0])
             before, after = F.lag(x).over(w), F.lead(x).over(w)
             if n < 2:
                 raise ValueError("gradients need at least two rows and columns")
@@ -496,15 +589,15 @@ class Image(EarthObject):
 
     def slope(self) -> Image:
         g = self.gradients()
-        return g._with({"slope": F.degrees(F.atan(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2)))})
+        return g._with({"slope": F.degrees(F.atan(F.sqrt(g._col("gx") ** 2 + g._col("gy") ** 2)))})
 
     def aspect(self) -> Image:
         g = self.gradients()
-        return g._with({"aspect": F.pmod(F.degrees(F.atan2(-F.col("gx"), F.col("gy"))) + 360, F.lit(360.0))})
+        return g._with({"aspect": F.pmod(F.degrees(F.atan2(-g._col("gx"), g._col("gy"))) + 360, F.lit(360.0))})
 
     def hillshade(self, azimuth: float = 315.0, elevation: float = 45.0) -> Image:
         g = self.gradients()
-        steep, facing = F.atan(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2)), F.atan2(-F.col("gx"), F.col("gy"))
+        steep, facing = F.atan(F.sqrt(g._col("gx") ** 2 + g._col("gy") ** 2)), F.atan2(-g._col("gx"), g._col("gy"))
         az, alt = math.radians(azimuth), math.radians(elevation)
         light = math.sin(alt) * F.cos(steep) + math.cos(alt) * F.sin(steep) * F.cos(az - facing)
         return g._with({"hillshade": m.clamp(light * 255, 0, 255)})

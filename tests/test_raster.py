@@ -165,3 +165,40 @@ def test_filters_on_missing(spark):
 def test_grid():
     g = Grid(10, 5, (2.0, 0.0, 100.0, 0.0, -2.0, 50.0))
     assert g.bounds == (100, 40, 120, 50) and g.pixel(*g.center(3, 4)) == (3.5, 4.5)
+
+
+def test_bands_of_one_image_combine_without_a_join(spark):
+    data = np.arange(24.0).reshape(3, 2, 4)
+    i = image(spark, data)
+    made = (i.select("B1") * 2 - i.select("B2") / (i.select("B3") + 1)).where(i.select("B1") > 3, i.select("B3")).updateMask(i.select("B2") > 9)
+    made = made.expression("x + y", {"x": made, "y": i.select("B3")})
+    a, b, c = data
+    want = np.where(a > 3, c, a * 2 - b / (c + 1))
+    same(made.to_numpy()[0], np.where(b > 9, want + c, np.nan))
+    plan = made.df._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    both = Image.from_images([i.select("B2"), i.select("B1")], ["u", "v"])
+    same(both.to_numpy(), data[[1, 0]])
+    other = image(spark, data)
+    same((i - other).to_numpy(), np.zeros_like(data))
+
+
+@pytest.mark.parametrize("kind", ["circle", "square", "gaussian"])
+def test_focal_tiles_match_brute_force(spark, kind):
+    """Several tiles, missing values, pixels that the frame lacks, and mirrored edges."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(150, 137))
+    data[rng.random(data.shape) < 0.1] = np.nan
+    i = image(spark, data)
+    radius = 2
+    pad = np.pad(data, radius, mode="symmetric")
+    offsets = Image.kernel(radius, kind)
+    stack = np.stack([pad[radius + r : radius + r + 150, radius + c : radius + c + 137] for r, c, _ in offsets])
+    w = np.array([x for _, _, x in offsets])[:, None, None] * ~np.isnan(stack)
+    mean = np.where(np.isnan(data), np.nan, np.nansum(stack * w, axis=0) / w.sum(axis=0))
+    same(i.focal_mean(radius, kind).to_numpy()[0], mean)
+    if kind == "square":
+        same(i.focal_median(radius).to_numpy()[0], np.nanmedian(stack, axis=0))
+    sparse = Image(i.df.filter("row < 40 and col < 30"), i.grid)
+    got = sparse.focal_median(1).df.agg({"row": "max", "col": "max"}).first()
+    assert sorted(got) == [30, 40]
