@@ -22,7 +22,11 @@ def compile_expression(text: str, scope: Mapping[str, object]) -> Column:
     Numbers, names, arithmetic, chained comparisons, and/or/not, conditionals and ten functions; ValueError for anything else and
     NameError for unknown names.
     """
-    return m.col(_value(ast.parse(text, mode="eval").body, scope))
+    try:
+        tree = ast.parse(text.strip(), mode="eval")
+    except SyntaxError as e:
+        raise ValueError(f"not an expression: {text!r}") from e
+    return m.col(_value(tree.body, scope))
 
 
 def _truth(node: ast.AST, scope: Mapping[str, object]) -> Column:

@@ -149,8 +149,8 @@ class Filter:
     @staticmethod
     def _text(name: str, value: str, method: str, case_sensitive: bool = True) -> Filter:
         def build(of) -> Column:
-            c = of(name).cast("string")
-            return getattr(c if case_sensitive else F.lower(c), method)(value if case_sensitive else value.lower())
+            c = F.when(F.typeof(of(name)) == "string", of(name).cast("string"))  # what isn't text doesn't match
+            return F.coalesce(getattr(c if case_sensitive else F.lower(c), method)(value if case_sensitive else value.lower()), F.lit(False))
 
         return Filter(build, f"{name} {method} {value!r}")
 

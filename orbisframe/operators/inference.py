@@ -40,13 +40,14 @@ def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
     taken range by range: values are dealt into ranges, and only the ranges' totals are summed in one place."""
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(group).alias("g"))
     counts = rows.groupBy("v").agg(F.count("*").alias("c"))
-    cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)])).first()[0] or []))
+    ranges = min(4096, max(64, counts.count() // 100_000))
+    cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
     part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda x: x <= F.col("v"))) if cuts else F.lit(0)
     counts = counts.withColumn("part", part)
     totals = counts.groupBy("part").agg(F.sum("c").alias("t"))
-    before = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 64 rows
+    before = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
     inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("under", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(F.broadcast(before), "part")  # 64 rows
+    ranked = counts.withColumn("under", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(F.broadcast(before), "part")  # a row a range
     ranked = ranked.select("v", "c", (F.col("before") + F.col("under") + (F.col("c") + 1) / 2).alias("rank"))
     return rows.groupBy("v", "g").agg(F.count("*").alias("m")).join(ranked, "v").groupBy("g").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("rank")).alias("ranks"), F.sum((F.col("c") ** 2 - 1) * F.col("m")).alias("ties"))
 

@@ -105,8 +105,20 @@ class FeatureCollection(EarthObject):
     def reproject(self, dst) -> FeatureCollection:
         if self.crs == dst:
             return self
-        x, y = crs_.transform(*self.center(), self.crs, dst)
-        made = self.df.select(*[c for c in self.df.columns if c not in self.kind], x.alias("x"), y.alias("y"))
+        rest = [c for c in self.df.columns if c not in self.kind]
+        if self.kind is BOX:  # the box around the moved edges, each taken at 21 points
+            share = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: k / 20)
+            x0, y0, x1, y1 = (F.col(c) for c in BOX)
+            place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+            across, up = (lambda s: x0 + (x1 - x0) * s), (lambda s: y0 + (y1 - y0) * s)
+            edge = F.concat(*[F.transform(share, f) for f in (lambda s: place(across(s), y0), lambda s: place(across(s), y1), lambda s: place(x0, up(s)), lambda s: place(x1, up(s)))])
+            moved = F.transform(edge, lambda p: place(*crs_.transform(p["x"], p["y"], self.crs, dst)))
+            made = self.df.select(*rest, moved.alias("__edge"))
+            ends = [f(f"__edge.{c}").alias(n) for f, c, n in ((F.array_min, "x", "minx"), (F.array_min, "y", "miny"), (F.array_max, "x", "maxx"), (F.array_max, "y", "maxy"))]
+            made = made.select(*rest, *ends)
+        else:
+            x, y = crs_.transform(F.col("x"), F.col("y"), self.crs, dst)
+            made = self.df.select(*rest, x.alias("x"), y.alias("y"))
         return type(self)(made, dst, self.fid, dict(self._metadata))
 
     def metric(self) -> FeatureCollection:

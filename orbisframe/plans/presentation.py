@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import json
 import math
+import warnings
+from bisect import bisect_left
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -18,28 +20,41 @@ BASEMAPS = {"osm": "https://tile.openstreetmap.org/{z}/{x}/{y}.png"}
 
 
 def degree_label(value: float, is_lat: bool, form: str = "DD", precision: int = 2) -> str:
-    """A coordinate as decimal degrees (DD), degrees and minutes (DM), or degrees, minutes and seconds (DMS)."""
-    side = "NS"[value < 0] if is_lat else "EW"[value < 0]
-    size = abs(value)
-    if form.upper() == "DMS":
-        total = round(size * 3600)
-        whole, rest = divmod(total, 3600)
-        return f"{whole}° {rest // 60:02d}' {rest % 60:02d}\" {side}"
-    if form.upper() == "DM":
-        whole = int(size)
-        return f"{whole}° {(size - whole) * 60:04.1f}' {side}"
-    return f"{size:.{precision}f}° {side}"
+    """A coordinate as decimal degrees (DD), degrees and minutes (DM), or degrees, minutes and seconds (DMS).
+
+    It is rounded once, to the label's smallest unit (a tenth of a minute, a second), so that no part reaches 60.
+    """
+    letter = ("S" if is_lat else "W") if value < 0 else ("N" if is_lat else "E")
+    kind = form.upper()
+    if kind == "DMS":
+        degrees, seconds = divmod(round(abs(value) * 3600), 3600)
+        said = f"{degrees}° {seconds // 60:02d}' {seconds % 60:02d}\""
+    elif kind == "DM":
+        degrees, tenths = divmod(round(abs(value) * 600), 600)
+        said = f"{degrees}° {tenths // 10:02d}.{tenths % 10}'"
+    else:
+        said = f"{abs(value):.{precision}f}°"
+    return f"{said} {letter}"
 
 
 def degree_precision(span: float) -> int:
-    """Decimals that keep tick labels apart over a span of degrees."""
-    return 4 if span < 0.005 else 3 if span < 0.05 else 2
+    """Decimals that keep tick labels apart: two, and one more for each limit that the span of degrees lies below."""
+    return 2 + sum(span < limit for limit in (0.05, 0.005))
+
+
+def bar_length(width_m: float, max_fraction: float = 0.25) -> float:
+    """The listed length nearest to that fraction of the map's width, the shorter of two as near."""
+    goal = width_m * max_fraction
+    above = bisect_left(BAR_LENGTHS, goal)
+    around = BAR_LENGTHS[max(0, above - 1) : above + 1]
+    return around[0] if len(around) == 1 or goal - around[0] <= around[1] - goal else around[1]
 
 
 def scale_bar(width_m: float, max_fraction: float = 0.25, length_m: float | None = None) -> tuple[float, str]:
-    """(metres, label): the listed length nearest to a fraction of the map's width."""
-    chosen = length_m if length_m and length_m > 0 else min(BAR_LENGTHS, key=lambda c: abs(c - width_m * max_fraction))
-    return chosen, f"{chosen / 1000:g} km" if chosen >= 1000 else f"{int(chosen)} m"
+    """(metres, label) of a bar of the given length, or else of the one that suits the map's width."""
+    metres = length_m if (length_m or 0) > 0 else bar_length(width_m, max_fraction)
+    label = f"{int(metres)} m" if metres < 1000 else f"{metres / 1000:g} km"
+    return metres, label
 
 
 class Table:
@@ -99,7 +114,9 @@ class Map:
         return self
 
     def addLayer(self, fc: FeatureCollection, style: dict | None = None, name: str = "layer", limit: int = 10_000) -> Map:
-        """The first features by fid, at most limit, in degrees."""
+        """The first features by fid, in degrees; a warning tells where there are more than limit."""
+        if fc.df.limit(limit + 1).count() > limit:
+            warnings.warn(f"layer {name!r} shows the first {limit} features only", UserWarning, stacklevel=2)
         shown = fc.limit(limit)
         shown = shown if fc.crs.is_geographic else shown.reproject(4326)
         features = [json.loads(r.value) for r in geojson(shown).collect()]

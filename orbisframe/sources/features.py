@@ -13,17 +13,19 @@ _NUMBER = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
 
 
 def read_geojson(spark: SparkSession, path: str, crs=None) -> FeatureCollection:
-    """A feature collection, one document a file or one feature a line: fid by position, properties as text, and the box of each
-    geometry (and x, y where all are points)."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.from_json("value", _COLLECTION).alias("d"))
-    rows = docs.select(F.posexplode("d.features").alias("fid", "f"))
-    return _located(rows.select(F.col("fid").cast("long"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"), F.col("f.properties").alias("properties")), crs)
+    """Feature collections, one document a file: properties as text, and the box of each geometry. fid is the position in the
+    file, and with several files the file's place by name times 2^32 more, so that no two features share one."""
+    docs = spark.read.option("wholetext", True).text(path).select(F.from_json("value", _COLLECTION).alias("d"), F.input_file_name().alias("file"))
+    names = sorted(r["file"] for r in docs.select("file").distinct().collect())  # names only
+    place = F.array_position(F.lit(names), F.col("file")) - 1 if len(names) > 1 else F.lit(0).cast("long")
+    rows = docs.select(place.alias("n"), F.posexplode("d.features").alias("at", "f"))
+    return _located(rows.select((F.col("n") * F.lit(1 << 32).cast("long") + F.col("at")).alias("fid"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"), F.col("f.properties").alias("properties")), crs)
 
 
 def read_geojson_lines(spark: SparkSession, path: str, crs=None) -> FeatureCollection:
-    """One feature a line; splittable, so the form for large files."""
-    rows = spark.read.schema(_FEATURE).json(path).filter("geometry is not null")
-    located = rows.select(F.xxhash64(F.to_json(F.struct("geometry", "properties"))).alias("fid"), F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("c"), "properties")
+    """One feature a line; splittable, so the form for large files. fid numbers the rows by split and place in it, equal features apart."""
+    rows = spark.read.schema(_FEATURE).json(path).withColumn("fid", F.monotonically_increasing_id()).filter("geometry is not null")
+    located = rows.select("fid", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("c"), "properties")
     return _located(located, crs)
 
 
@@ -92,4 +94,5 @@ def write_parquet(fc: FeatureCollection, path: str) -> None:
 
 
 def read_parquet(spark: SparkSession, path: str, crs=None, fid: str = "fid") -> FeatureCollection:
-    return FeatureCollection(spark.read.parquet(path).drop("geom"), crs, fid)
+    """What write_parquet wrote; geom holds the WKB."""
+    return FeatureCollection(spark.read.parquet(path), crs, fid)

@@ -79,7 +79,8 @@ class GEDI:
 
     def to_feature_collection(self) -> FeatureCollection:
         df = self.to_frame()
-        fid = "shot_number" if "shot_number" in df.columns else "longitude"
+        fid = "shot_number" if "shot_number" in df.columns else "fid"
+        df = df if fid in df.columns else df.withColumn("fid", F.monotonically_increasing_id())
         return FeatureCollection(df.withColumn("x", F.col("longitude")).withColumn("y", F.col("latitude")), 4326, fid)
 
     to_fc = to_feature_collection
