@@ -72,6 +72,11 @@ def stack(spark: SparkSession, sf_dir: str) -> ImageCollection:
     return ImageCollection(df, scenes, Grid(15, 1000))
 
 
+def _gaps(spark: SparkSession, sf_dir: str, by: str = "5e-2") -> DataFrame:
+    """The cells, each shrunk at its upper and right side."""
+    return view(spark, sf_dir, CELLS).selectExpr("k", "region", "minx", "miny", f"maxx - {by} as maxx", f"maxy - {by} as maxy")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded; row and col under the names of the SQL texts."""
     names = {"row": "r", "col": "c"}
@@ -245,9 +250,9 @@ def col_long(spark, d):
 
 # neighbourhoods: the SQL reads mirrored positions by join, the engine sends pixels out
 _MIRROR = """n as (select max(r) + 1 as h from {px}), o as (select a.range - K as dr, b.range - K as dc from range(2 * K + 1) a, range(2 * K + 1) b WHERE_K),
-    t as (select p.r, p.c, p.B2 as mid, case when p.r + dr < 0 then -p.r - dr - 1 when p.r + dr >= h then 2 * h - 1 - p.r - dr else p.r + dr end as rr,
+    t as (select p.r, p.c, exp(-(dr * dr + dc * dc) / (K * K / 2e0)) as w, p.B2 as mid, case when p.r + dr < 0 then -p.r - dr - 1 when p.r + dr >= h then 2 * h - 1 - p.r - dr else p.r + dr end as rr,
         case when p.c + dc < 0 then -p.c - dc - 1 when p.c + dc >= 100 then 199 - p.c - dc else p.c + dc end as cc from {px} p, o, n),
-    j as (select t.r, t.c, t.mid, q.B2 as b from t join {px} q on q.r = t.rr and q.c = t.cc)"""
+    j as (select t.r, t.c, t.mid, t.w, q.B2 as b from t join {px} q on q.r = t.rr and q.c = t.cc)"""
 
 
 def _near(k: int, circle: bool) -> str:
@@ -259,6 +264,8 @@ for _name, _k, _circle, _out, _make in (
     ("focal_median", 1, False, "round(median(b), 6) as B2", lambda i: i.focal_median(1)),
     ("focal_min", 2, False, "round(min(b), 6) as B2", lambda i: i.focal_min(2)),
     ("focal_max", 2, False, "round(max(b), 6) as B2", lambda i: i.focal_max(2)),
+    ("focal_mean_square", 3, False, "case when max(mid) is not null then round(avg(b), 6) end as B2", lambda i: i.focal_mean(3, "square")),
+    ("focal_mean_gaussian", 2, False, "case when max(mid) is not null then round(sum(w * b) / sum(case when b is not null then w end), 6) end as B2", lambda i: i.focal_mean(2, "gaussian")),
     ("focal_std", 2, True, "case when max(mid) is not null then round(sqrt(greatest(avg(b * b) - avg(b) * avg(b), 0)), 4) end as B2_std", lambda i: i.focal_std(2)),
 ):
     query(f"{_near(_k, _circle)} select r, c, {_out} from j group by r, c", _name)(lambda spark, d, f=_make, n=_name: rounded(f(pixels(spark, d, ["B2"])).df, 4 if n == "focal_std" else 6))
@@ -311,12 +318,40 @@ def fc_sort_limit(spark, d):
     return fc.sort("v", ascending=False).df.limit(40).select("id", F.round("v", 4).alias("v"))
 
 
-@query("select id, k, region, k as index_right from {pts} left join {cells} on x between minx and maxx and y between miny and maxy and k % 3 = 0")
+@query("select id, k, region, k as index_right from {pts} left join {cells} on x between minx and maxx - 5e-2 and y between miny and maxy - 5e-2")
 def spatial_join_left(spark, d):
-    left, right = FeatureCollection(view(spark, d, PTS).select("id", "x", "y"), fid="id"), FeatureCollection(view(spark, d, CELLS).filter("k % 3 = 0"), fid="k")
+    """All cells, each shrunk so that points lie between them."""
+    left, right = FeatureCollection(view(spark, d, PTS).select("id", "x", "y"), fid="id"), FeatureCollection(_gaps(spark, d), fid="k")
     return left.spatial_join(right, "left").select("id", "k", "region", "index_right")
 
 
+@query("select id, k, region, k as index_right from {sup} right join {cells} on x between minx and maxx - 15e-2 and y between miny and maxy - 15e-2")
+def spatial_join_right(spark, d):
+    left, right = FeatureCollection(view(spark, d, SUP).select("id", "x", "y"), fid="id"), FeatureCollection(_gaps(spark, d, "15e-2"), fid="k")
+    return left.spatial_join(right, "right").select("id", "k", "region", "index_right")
+
+
+@query("select a.k as k_left, b.k as k_right, b.k as index_right from {cells} a join {cells} b on a.minx >= b.minx - 1e-1 and a.maxx <= b.maxx + 2e-1 and a.miny >= b.miny - 1e-1 and a.maxy <= b.maxy + 2e-1")
+def spatial_join_within(spark, d):
+    cells = view(spark, d, CELLS).select("k", "minx", "miny", "maxx", "maxy")
+    wide = cells.selectExpr("k", "minx - 1e-1 as minx", "miny - 1e-1 as miny", "maxx + 2e-1 as maxx", "maxy + 2e-1 as maxy")
+    return FeatureCollection(cells, fid="k").spatial_join(FeatureCollection(wide, fid="k"), predicate="within").select("k_left", "k_right", "index_right")
+
+
+@query("select a.k as k_left, b.id as id, b.id as index_right from {cells} a join {pts} b on b.x between a.minx and a.maxx and b.y between a.miny and a.maxy".replace("a.k as k_left", "a.k as k"))
+def spatial_join_contains(spark, d):
+    left, right = FeatureCollection(view(spark, d, CELLS), fid="k"), FeatureCollection(view(spark, d, PTS).select("id", "x", "y"), fid="id")
+    return left.spatial_join(right, predicate="contains").select("k", "id", "index_right")
+
+
+@query("select cast(min(k) as bigint) as k, round(avg(region), 6) as region, cast(max(region) as int) as most from {cells}")
+def reduce_columns_method(spark, d):
+    """FeatureCollection.reduceColumns itself; its values become a row again."""
+    fc = FeatureCollection(view(spark, d, CELLS), fid="k")
+    row = (fc.reduceColumns(Reducer.min(), ["k"])["k"], fc.reduceColumns(Reducer.mean(), ["region", "absent"])["region"], fc.reduceColumns(Reducer.max(), ["region"])["region"])
+    return rounded(spark.createDataFrame([row], "k long, region double, most int"))
+
+
 @query("select region, cast(min(k) as bigint) as k, round(min(minx), 6) as minx, round(min(miny), 6) as miny, round(max(maxx), 6) as maxx, round(max(maxy), 6) as maxy from {cells} group by region")
 def dissolve_bbox(spark, d):
     return rounded(FeatureCollection(view(spark, d, CELLS), fid="k").dissolve("region").df)
@@ -327,18 +362,34 @@ def block_square(spark, d):
     return rounded(block(Geometry.Rectangle(0, 0, 1, 1, crs=3857), spark, 0.09).df)
 
 
-@query()
+@query("""with k as (select a.range * 15 + b.range as id, b.range * 9e-2 + (0 - 9e-2) + (a.range % 2) * 45e-3 as cx, a.range * (15e-1 * (9e-2 / sqrt(3))) + (0 - 15e-1 * (9e-2 / sqrt(3))) as cy from range(16) a, range(15) b),
+    m as (select *, greatest(0, -cx, cx - 1) as dx, greatest(0, -cy, cy - 1) as dy from k where cx < 1 + 9e-2 and cy < 1 + 15e-1 * (9e-2 / sqrt(3)))
+    select round(cx, 6) as cx, round(cy, 6) as cy, round(cx - 45e-3, 6) as minx, round(cy - 9e-2 / sqrt(3), 6) as miny, round(cx + 45e-3, 6) as maxx, round(cy + 9e-2 / sqrt(3), 6) as maxy, cast(row_number() over (order by id) - 1 as int) as block_id
+    from m where dx <= 45e-3 + 1e-9 and dy * (sqrt(3) / 2) + dx / 2 <= 45e-3 + 1e-9""")
 def block_hex(spark, d):
     return rounded(block(Geometry.Rectangle(0, 0, 1, 1, crs=3857), spark, 0.09, shape="hexagonal").df)
 
 
 @query("""select id, arg_min(b, (dist, b)) as block_id from (select p.id, k as b, sqrt(greatest(minx - x, x - maxx, 0) * greatest(minx - x, x - maxx, 0) + greatest(miny - y, y - maxy, 0) * greatest(miny - y, y - maxy, 0)) as dist
-    from {pts} p, {cells} where k % 2 = 0) group by id""".replace("arg_min(b, (dist, b))", "min({'d': dist, 'b': b}).b"))
+    from {pts} p, (select k, minx, miny, maxx - 5e-2 as maxx, maxy - 5e-2 as maxy from {cells})) group by id""".replace("arg_min(b, (dist, b))", "min({'d': dist, 'b': b}).b"))
 def assign_blocks(spark, d):
-    cells = view(spark, d, CELLS).filter("k % 2 = 0").withColumnRenamed("k", "block_id")
+    """All cells, each shrunk, so that points between them go to the nearest."""
+    cells = _gaps(spark, d).withColumnRenamed("k", "block_id")
     return validation.assign_blocks(view(spark, d, PTS).select("id", "x", "y"), cells).select("id", "block_id")
 
 
+_HEX = """h as (select a.range * 15 + b.range as id, b.range * 9e-2 + (0 - 9e-2) + (a.range % 2) * 45e-3 as cx, a.range * (15e-1 * (9e-2 / sqrt(3))) + (0 - 15e-1 * (9e-2 / sqrt(3))) as cy from range(16) a, range(15) b),
+    n as (select *, row_number() over (order by id) - 1 as block_id from h where cx < 1 + 9e-2 and cy < 1 + 15e-1 * (9e-2 / sqrt(3)) and greatest(0, -cx, cx - 1) <= 45e-3 + 1e-9
+        and greatest(0, -cy, cy - 1) * (sqrt(3) / 2) + greatest(0, -cx, cx - 1) / 2 <= 45e-3 + 1e-9)"""
+
+
+@query(f"with {_HEX} select id, cast(arg_min(block_id, d) as int) as block_id from (select p.id, n.block_id, (p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy) as d from {{pts}} p, n) group by id")
+def assign_hexagons(spark, d):
+    """The hexagon a point lies in is the one with the nearest centre."""
+    hexagons = block(Geometry.Rectangle(0, 0, 1, 1, crs=3857), spark, 0.09, shape="hexagonal").df
+    return validation.assign_blocks(view(spark, d, PTS).select("id", "x", "y"), hexagons).select("id", "block_id")
+
+
 # spatial statistics
 _EDGES = "e as (select i, j, 125e-3 as w from (select a.id as i, b.id as j, row_number() over (partition by a.id order by sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.id) as n from {pts} a join {pts} b on a.id <> b.id) where n <= 8)"
 _Z = "z as (select id, v - avg(v) over () as z, count(*) over () * 1e0 as n from {pts})"
@@ -384,6 +435,16 @@ def lisa(spark, d):
     return df.select("id", (F.round("v_std", 4) + 0.0).alias("v_std"), (F.round("I", 5) + 0.0).alias("I"), (F.round("z_score", 4) + 0.0).alias("z_score"))
 
 
+@query(f"""with {_EDGES}, {_Z}, l as (select i, sum(w * z) as lag, sum(w) as wr, sum(w * w) as wq from e join z on id = j group by i),
+    s as (select avg(z * z) as s2, avg(z * z * z * z) as m4, max(n) as n from z),
+    o as (select id, z, lag, wr, wq, s.*, z / s2 * lag as li, -wr / (s.n - 1) as ex, m4 / (s2 * s2) as b2 from z join l on i = id, s)
+    select id, case when abs((li - ex) / sqrt(greatest(wq * (n - b2) / (n - 1) + (wr * wr - wq) * (2 * b2 - n) / ((n - 1) * (n - 2)) - ex * ex, 1e-10))) < 1959963984540054e-15 then 'not significant'
+        when z > 0 and lag > 0 then 'HH' when z < 0 and lag < 0 then 'LL' when z > 0 and lag < 0 then 'HL' else 'LH' end as cluster from o""")
+def lisa_clusters(spark, d):
+    """Clusters at p = 0.05, the two-sided tail of z = 1.96."""
+    return spatial.local_morans_i(view(spark, d, PTS).select("id", "x", "y", "v"), "v").select("id", "cluster")
+
+
 @query("""with q as (select sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as dd, pow(a.v - b.v, 2) / 2 as s from {pts} a join {pts} b on a.id < b.id)
     select cast(floor(dd / (5e-2 / 10)) as int) as lag, round(avg(dd), 6) as distance, round(avg(s), 2) as semivariance, count(*) as pairs from q where dd < 5e-2 group by 1""")
 def variogram(spark, d):
@@ -467,6 +528,34 @@ def spatial_cv(spark, d):
     return validation.SpatialCV(cells).folds(view(spark, d, PTS).select("id", "x", "y")).select("id", "block_id", "fold")
 
 
+_FOLDS = """b as (select p.id, x, y, min(k) as block_id from {pts} p join {cells} on x between minx and maxx and y between miny and maxy group by p.id, x, y),
+    g as (select block_id, ntile(5) over (order by block_id) - 1 as fold from (select distinct block_id from b))"""
+
+
+@query(f"with {_FOLDS} select id, block_id, cast(fold as int) as fold from b join g using (block_id)")
+def spatial_cv_in_order(spark, d):
+    """Folds of blocks in the order of their ids."""
+    cells = view(spark, d, CELLS).withColumnRenamed("k", "block_id")
+    return validation.SpatialCV(cells, shuffle=False).folds(view(spark, d, PTS).select("id", "x", "y")).select("id", "block_id", "fold")
+
+
+@query(f"with {_FOLDS}, f as (select id, x, y, fold from b join g using (block_id)) select distinct p.id, cast(q.fold as int) as fold from f p join f q on p.fold <> q.fold and sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 2e-2")
+def buffered_cv_in_order(spark, d):
+    cv = validation.BufferedSpatialCV(0.02, blocks=view(spark, d, CELLS).withColumnRenamed("k", "block_id"), shuffle=False)
+    return cv.excluded(cv.folds(view(spark, d, PTS).select("id", "x", "y")))
+
+
+@query(f"""with f as (select id, x, y, cast(id % 5 as int) as fold from {{pts}}) select distinct p.id, q.fold from f p join f q on p.fold <> q.fold
+    and 6378137 * sqrt(pow(radians(p.x - q.x), 2) + pow(ln(tan(pi() / 4 + radians(p.y) / 2)) - ln(tan(pi() / 4 + radians(q.y) / 2)), 2)) <= 2e3""")
+def buffered_cv_mercator(spark, d):
+    """Points in degrees, buffered in metres of the Mercator projection."""
+    from ..functions import crs
+
+    x, y = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
+    points = view(spark, d, PTS).select("id", x.alias("x"), y.alias("y"), (F.col("id") % 5).cast("int").alias("fold"))
+    return validation.BufferedSpatialCV(2000.0, crs=3857).excluded(points)
+
+
 @query()
 def buffered_cv(spark, d):
     cv = validation.BufferedSpatialCV(0.02, blocks=view(spark, d, CELLS).withColumnRenamed("k", "block_id"))

@@ -255,3 +255,117 @@ def test_stream(spark, tmp_path):
     q.stop()
     want = running_composite(events, "value", ["event_type"])
     assert spark.table("composite").count() == want.count() > 0
+
+
+def sq(a, b, c, d):
+    return Geometry.Polygon([(a, b), (c, b), (c, d), (a, d)])
+
+
+def test_set_operations_of_any_polygons():
+    ell = Geometry.Polygon([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)])
+    holed = Geometry.Polygon([[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)]])
+    assert [sq(0, 0, 4, 4).difference(ell).area, sq(0, 0, 4, 4).union(ell).area, holed.difference(sq(9, 9, 10, 10)).area, holed.union(sq(1, 1, 3, 3)).area] == [9, 16, 12, 16]
+    assert sq(0, 0, 4, 4).difference(sq(1, 1, 3, 3)) == holed and sq(0, 0, 4, 4) != ell
+    assert ell == Geometry.Polygon([(4, 1), (1, 1), (1, 4), (0, 4), (0, 0), (2, 0), (4, 0)])
+    assert Geometry.Point(500000.25, 4000000.75).to_wkt() == "POINT (500000.25 4000000.75)"
+    rng = random.Random(1)
+
+    def star(cx, cy, n):
+        far = [rng.uniform(0.3, 2) for _ in range(n)]
+        return Geometry.Polygon([(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k, r in enumerate(far)])
+
+    for _ in range(60):
+        a, b = star(0, 0, rng.randrange(3, 12)), star(rng.uniform(-1, 1), rng.uniform(-1, 1), rng.randrange(3, 12))
+        both, either, only, one = a.intersection(b), a.union(b), a.difference(b), a.symmetric_difference(b)
+        assert either.area == pytest.approx(a.area + b.area - both.area) and only.area == pytest.approx(a.area - both.area)
+        for _ in range(40):
+            at = rng.uniform(-3, 3), rng.uniform(-3, 3)
+            p, q = a.contains_xy(*at), b.contains_xy(*at)
+            assert (both.contains_xy(*at), either.contains_xy(*at), only.contains_xy(*at), one.contains_xy(*at)) == (p and q, p or q, p and not q, p != q)
+
+
+def test_boxes_keep_their_extent(spark):
+    box = spark.createDataFrame([(1, 10.0, 50.0, 12.0, 51.0)], "fid long, minx double, miny double, maxx double, maxy double")
+    got = FeatureCollection(box, 4326).reproject(32632).df.first()
+    assert (got.minx, got.miny, got.maxx, got.maxy) == pytest.approx(crs.transform_bounds((10.0, 50.0, 12.0, 51.0), 4326, 32632))
+
+
+def test_days_expressions_and_text_filters(spark):
+    from orbisframe.functions.dates import to_day
+    from orbisframe.functions.expression import compile_expression
+
+    said = ["2023-01-31T22:30:00-05:00", "2023-02-01T01:00:00+02:00", "2023-01-31T10:00:00Z", "2023-01-31 10:00", "20230131", "2023031T042149", "x"]
+    days = [str(r[0]) for r in spark.createDataFrame([(s,) for s in said], "s string").select(to_day(F.col("s"))).collect()]
+    assert days == ["2023-02-01", "2023-01-31", "2023-01-31", "2023-01-31", "2023-01-31", "2023-01-31", "None"]
+    for bad in ("a +", "import os", "(", ""):
+        with pytest.raises(ValueError):
+            compile_expression(bad, {"a": 1.0})
+    compile_expression("  1 + 2 ", {})
+    df = spark.createDataFrame([(12, "12"), (30, None)], "n int, s string")
+    count = lambda f: f.apply(df).count()
+    assert (count(Filter.stringContains("n", "1")), count(Filter.stringContains("s", "1")), count(~Filter.stringContains("s", "1"))) == (0, 1, 1)
+
+
+def test_files_have_features_of_their_own(spark, tmp_path):
+    one = {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"a": "b"}}
+    for n in range(2):
+        (tmp_path / f"f{n}.json").write_text(json.dumps({"type": "FeatureCollection", "features": [one, one]}))
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "x.jsonl").write_text("\n".join([json.dumps(one)] * 3))
+    fids = [r.fid for r in features.read_geojson(spark, f"{tmp_path}/f*.json").df.collect()]
+    assert len(set(fids)) == 4
+    assert len({r.fid for r in features.read_geojson_lines(spark, f"{tmp_path}/lines").df.collect()}) == 3
+    assert (degree_label(10.99999, True, "DM"), degree_label(-0.5, False, "DMS"), scale_bar(10_000)[0]) == ("11° 00.0' N", "0° 30' 00\" W", 2500)
+
+
+def test_units(spark):
+    """Degrees with a buffer in metres: brute force in the UTM zone."""
+    rng = random.Random(7)
+    rows = [(i, 11 + rng.random() * 0.2, 48 + rng.random() * 0.2, i % 4) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, fold int")
+    zone = crs.utm_epsg(11.1, 48.1)
+    flat = {i: crs.transform(x, y, 4326, zone) for i, x, y, _ in rows}
+    fold = {r[0]: r[3] for r in rows}
+    want = {(i, fold[j]) for i in flat for j in flat if fold[i] != fold[j] and math.dist(flat[i], flat[j]) <= 900}
+    got = {(r.id, r.fold) for r in validation.BufferedSpatialCV(900.0, crs=4326).excluded(df).collect()}
+    assert got == want and 10 < len(want)
+    assert validation.BufferedSpatialCV(900.0, crs=4326, unit="crs").excluded(df).count() == 150 * 3
+    with pytest.raises(ValueError):
+        validation.BufferedSpatialCV(unit="miles")
+    report = validation.leakage_report(df.filter("fold = 0"), df.filter("fold = 1"), 900.0, crs=4326)
+    near = min(math.dist(flat[i], flat[j]) for i in flat for j in flat if fold[i] == 0 and fold[j] == 1)
+    assert report.min_distance == pytest.approx(near) and report.buffer_violation == (near < 900)
+    order = {r.id: r.o for r in df.select("id", F.xxhash64(F.lit(42), "id").alias("o")).collect()}
+    kept = []
+    for i in sorted(flat, key=lambda i: (order[i], i)):
+        if all(math.dist(flat[i], flat[j]) >= 1500 for j in kept):
+            kept.append(i)
+    assert {r.id for r in validation.min_distance(df, 500, 1500.0, crs=4326).collect()} == set(kept)
+    assert {r.id for r in validation.min_distance(FeatureCollection(df, 4326, "id"), 5, 1500.0).collect()} == set(kept[:5])
+
+
+def test_patch_split_matches_brute_force(spark):
+    grid = np.random.default_rng(1).normal(size=(96, 120))
+    ds = validation.PatchDataset(Image.from_numpy(spark, grid, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 32633), patch_size=8, stride=4)
+    for ratios, seed in (((0.7, 0.15, 0.15), 1), ((0.5, 0.5, 0.0), 2), ((0.98, 0.01, 0.01), 3)):
+        windows = {r.patch_id: (r.row, r.col) for r in ds.windows().collect()}
+        groups = {}
+        for p, (r, c) in windows.items():
+            groups.setdefault(((r + 4) // 16) * (120 // 16 + 1) + (c + 4) // 16, []).append(p)
+        hashed = {r.g: r.h for r in spark.createDataFrame([(g,) for g in groups], "g long").select("g", F.xxhash64(F.lit(seed), "g").alias("h")).collect()}
+        order = sorted(groups, key=hashed.get)
+        asked = [k for k in range(3) if ratios[k] > 0]
+        free = len(order) - len(asked)
+        counts = [(k in asked) + math.floor(ratios[k] * free) for k in range(3)]
+        for k in sorted(range(3), key=lambda k: -(ratios[k] * free - math.floor(ratios[k] * free)))[: len(order) - sum(counts)]:
+            counts[k] += 1
+        which = {}
+        for n, g in enumerate(order):
+            for p in groups[g]:
+                which[p] = 0 if n < counts[0] else 1 if n < counts[0] + counts[1] else 2
+        close = lambda a, b: all(abs(x - y) < 8 for x, y in zip(windows[a], windows[b], strict=True))
+        for k in (1, 0):
+            later = [p for p, s in which.items() if s > k]
+            which = {p: s for p, s in which.items() if s != k or not any(close(p, q) for q in later)}
+        got = {r.patch_id: r.split for r in ds.split(ratios=ratios, block_size=16, seed=seed).collect()}
+        assert got == {p: ("train", "val", "test")[which[p]] if p in which else None for p in windows}
