@@ -264,11 +264,11 @@ for _name, _k, _circle, _out, _make in (
     ("focal_median", 1, False, "round(median(b), 6) as B2", lambda i: i.focal_median(1)),
     ("focal_min", 2, False, "round(min(b), 6) as B2", lambda i: i.focal_min(2)),
     ("focal_max", 2, False, "round(max(b), 6) as B2", lambda i: i.focal_max(2)),
-    ("focal_mean_square", 3, False, "case when max(mid) is not null then round(avg(b), 6) end as B2", lambda i: i.focal_mean(3, "square")),
+    ("focal_mean_square", 3, False, "case when max(mid) is not null then round(avg(b), 9) end as B2", lambda i: i.focal_mean(3, "square")),
     ("focal_mean_gaussian", 2, False, "case when max(mid) is not null then round(sum(w * b) / sum(case when b is not null then w end), 6) end as B2", lambda i: i.focal_mean(2, "gaussian")),
     ("focal_std", 2, True, "case when max(mid) is not null then round(sqrt(greatest(avg(b * b) - avg(b) * avg(b), 0)), 4) end as B2_std", lambda i: i.focal_std(2)),
 ):
-    query(f"{_near(_k, _circle)} select r, c, {_out} from j group by r, c", _name)(lambda spark, d, f=_make, n=_name: rounded(f(pixels(spark, d, ["B2"])).df, 4 if n == "focal_std" else 6))
+    query(f"{_near(_k, _circle)} select r, c, {_out} from j group by r, c", _name)(lambda spark, d, f=_make, n=_name: rounded(f(pixels(spark, d, ["B2"])).df, {"focal_std": 4, "focal_mean_square": 9}.get(n, 6)))
 
 _TERRAIN = """with n as (select max(r) as h from {px}), w as (select r, c, elev, lag(elev) over a as u, lead(elev) over a as v, lag(elev) over b as s, lead(elev) over b as t from {px} window a as (partition by c order by r), b as (partition by r order by c)),
     g as (select r, c, case when r = 0 then v - elev when r = h then elev - u else (v - u) / 2 end / 10 as gy, case when c = 0 then t - elev when c = 99 then elev - s else (t - s) / 2 end / 10 as gx from w, n)"""
