@@ -8,8 +8,8 @@ length of a byte depends only on the bytes before it, and a text's code length i
 with the shortest code is predicted.
 
 A tree is sparse: sorted codes of the contexts and grams that its language has seen, with their bits. All trees together hold
-at most ``FIT_TOTAL`` times ORDER + 1 entries of 12 bytes, however many languages there are; 200 languages of real prose take
-about 100 MB. A batch of texts looks each of its distinct 4-grams up once in each tree.
+at most 2 * (ORDER + 1) entries of 12 bytes for each of ``FIT_TOTAL`` bytes, however many languages there are; prose repeats itself, and four
+languages of 600,000 bytes each come to 1.4 MB. A batch of texts looks each of its distinct 4-grams up once in each tree.
 
 The trees are fitted on a bounded sample of the labelled rows, drawn by hash: of about ``FIT_BYTES`` for each language, with a
 span of at most ``SPAN`` characters of each drawn row, at a place that its hash chooses, so that no single text speaks
