@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import inference, spatial, validation
@@ -77,10 +77,22 @@ def _gaps(spark: SparkSession, sf_dir: str, by: str = "5e-2") -> DataFrame:
     return view(spark, sf_dir, CELLS).selectExpr("k", "region", "minx", "miny", f"maxx - {by} as maxx", f"maxy - {by} as maxy")
 
 
+def round_like_sql(x: Column, digits: int) -> Column:
+    """round() as DuckDB does it: x * 10^digits to the nearest whole number, halves away from zero, over 10^digits.
+
+    Spark rounds the decimal text of a double instead. The two part where x * 10^digits is no exact product, as for large values.
+    """
+    scale = float(10**digits)
+    big = F.abs(x) * scale
+    near = F.rint(big)  # halves to even
+    made = F.when(big - near == 0.5, near + 1).otherwise(near) / scale
+    return F.when(made < float("inf"), F.signum(x) * made).otherwise(x)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded; row and col under the names of the SQL texts."""
     names = {"row": "r", "col": "c"}
-    return df.select(*[(F.round(F.col(f"`{n}`"), digits) + 0.0 if t == "double" else F.col(f"`{n}`")).alias(names.get(n, n)) for n, t in df.dtypes])
+    return df.select(*[(round_like_sql(F.col(f"`{n}`"), digits) + 0.0 if t == "double" else F.col(f"`{n}`")).alias(names.get(n, n)) for n, t in df.dtypes])
 
 
 def query(sql: str | None = None, name: str | None = None):
