@@ -24,3 +24,8 @@ def like_sql(spark, folder, name, **made):
 def test_band_arith_rounds_large_values_like_sql(spark, tmp_path):
     got, want = like_sql(spark, tmp_path, "band_arith", events=f"select * replace(event_id + 1000 * r.range as event_id, user_id + 10000000 * r.range as user_id) from '{SF}/events.parquet', range(6) r")
     assert got == want
+
+
+def test_band_unary_has_the_last_digits_of_sql(spark, tmp_path):
+    got, want = like_sql(spark, tmp_path, "band_unary", events=f"select * replace(event_id + 1000 * r.range as event_id, user_id + 1500 * r.range as user_id) from '{SF}/events.parquet', range(20) r")
+    assert got == want
