@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.distributions import normal_p
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the points: sorted and merged, never broadcast.
+
+    Spark tells the size of a side by its files, which may hold a hundredth of what its rows take (compression, and cells or
+    neighbours that a row is expanded to), and a broadcast goes through the driver as a whole.
+    """
+    return df.hint("merge")
+
+
 def _cells(points: DataFrame, cell: float) -> DataFrame:
     return points.withColumn("__cx", F.floor(F.col("x") / cell).cast("long")).withColumn("__cy", F.floor(F.col("y") / cell).cast("long"))
 
@@ -26,13 +35,17 @@ def _spread(points: DataFrame, cell: float, reach: int) -> DataFrame:
     return at.withColumn("__cx", F.col("__cx") + F.col("__dx")).withColumn("__cy", F.col("__cy") + F.col("__dy")).drop("__dx", "__dy")
 
 
+def _far(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(i, j, d): pairs at most radius apart; by cells as wide as the radius."""
     cell = radius if radius > 0 else 1.0
     a = _spread(left.select(F.col("id").alias("i"), F.col("x"), F.col("y")), cell, 1).withColumnsRenamed({"x": "__x", "y": "__y"})
     b = _cells(right.select(F.col("id").alias("j"), "x", "y"), cell)
     d = F.sqrt((F.col("__x") - F.col("x")) ** 2 + (F.col("__y") - F.col("y")) ** 2)
-    return a.join(b, ["__cx", "__cy"]).select("i", "j", d.alias("d")).filter(F.col("d") <= radius)
+    return a.join(sorted_join(b), ["__cx", "__cy"]).select("i", "j", d.alias("d")).filter(F.col("d") <= radius)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, same: bool = False) -> DataFrame:
@@ -60,16 +73,16 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, same: bool = False) -
         last = 2 * cell >= wide
         b = _cells(pool, cell).drop("x", "y")
         d = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
-        pairs = _spread(todo, cell, 2).join(b, ["__cx", "__cy"]).select("i", "j", d.alias("d"))
+        pairs = _spread(todo, cell, 2).join(sorted_join(b), ["__cx", "__cy"]).select("i", "j", d.alias("d"))
         pairs = pairs.filter(F.col("i") != F.col("j")) if same else pairs
         order = Window.partitionBy("i").orderBy("d", "j")
         ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).persist()
         if last:
             return ranked if done is None else done.unionByName(ranked)
         settled = ranked.filter((F.col("rank") == k) & (F.col("d") <= 2 * cell)).select("i")
-        found = ranked.join(settled, "i", "left_semi")
+        found = ranked.join(sorted_join(settled), "i", "left_semi")
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(settled, "i", "left_anti").persist()
+        todo = todo.join(sorted_join(settled), "i", "left_anti").persist()
         if todo.isEmpty():
             return done
         cell *= 4

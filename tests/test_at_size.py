@@ -29,3 +29,17 @@ def test_band_arith_rounds_large_values_like_sql(spark, tmp_path):
 def test_band_unary_has_the_last_digits_of_sql(spark, tmp_path):
     got, want = like_sql(spark, tmp_path, "band_unary", events=f"select * replace(event_id + 1000 * r.range as event_id, user_id + 1500 * r.range as user_id) from '{SF}/events.parquet', range(20) r")
     assert got == want
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+#: Queries whose sides look small by their files and are not.
+NEVER_BROADCAST = ["knn_weights"]
+
+
+@pytest.mark.parametrize("name", NEVER_BROADCAST)
+def test_points_and_neighbours_are_not_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SF))
