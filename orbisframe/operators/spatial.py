@@ -215,11 +215,71 @@ def variogram(points: DataFrame, value: str, n_lags: int = 15, max_dist: float |
         far = spun.groupBy("t").agg(F.max_by(F.struct("x", "y"), F.col("x") * F.cos("t") + F.col("y") * F.sin("t")).alias("p")).collect()
         hull = convex_hull([tuple(r["p"]) for r in far])
         max_dist = max((math.dist(a, b) for a in hull for b in hull), default=0.0) / 2
-    v = _values(points, value)
-    a, b = v.select(F.col("id").alias("i"), F.col("v").alias("vi")), v.select(F.col("id").alias("j"), F.col("v").alias("vj"))
-    pairs = within(points, points, max_dist).filter((F.col("i") < F.col("j")) & (F.col("d") < max_dist)).join(a, "i").join(b, "j")
-    bins = pairs.groupBy(F.floor(F.col("d") / (max_dist / n_lags)).cast("int").alias("lag"))
-    return bins.agg(F.avg("d").alias("distance"), F.avg((F.col("vi") - F.col("vj")) ** 2 / 2).alias("semivariance"), F.count("*").alias("pairs"))
+    if max_dist <= 0:
+        return points.sparkSession.createDataFrame([], "lag int, distance double, semivariance double, pairs long")
+    bins = _lag_sums(points.select("id", "x", "y", F.col(value).cast("double").alias("v")), max_dist, n_lags).groupBy("lag")
+    n, known = F.sum("n"), F.sum("known")
+    return bins.agg((F.sum("d") / n).alias("distance"), F.try_divide(F.sum("s"), known).alias("semivariance"), n.alias("pairs"))
+
+
+#: Points of one cell that a task of a variogram holds against their neighbours.
+PART = 2000
+
+
+def _lag_sums(points: DataFrame, max_dist: float, n_lags: int) -> DataFrame:
+    """(lag, n, d, known, s): pairs, their distances, those with both values and half their squared differences, summed by task.
+
+    Points (id, x, y, v) are dealt into cells as wide as max_dist, and a cell's points into parts. A part gets the points of its own
+    cell and of four of the cells around, so that each pair of points meets once; NumPy then adds up pairs that are never rows.
+    """
+    at = _cells(points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)"), max_dist)
+    parts = at.groupBy("__cx", "__cy").agg(F.ceil(F.count("*") / PART).cast("int").alias("__parts"))
+    own = at.join(sorted_join(parts), ["__cx", "__cy"]).withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).drop("__parts")
+    ways = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    sent = at.withColumn("__way", F.explode(ways)).withColumn("__cx", F.col("__cx") - F.col("__way.dx")).withColumn("__cy", F.col("__cy") - F.col("__way.dy"))
+    role = F.when((F.col("__way.dx") == 0) & (F.col("__way.dy") == 0), 1).otherwise(2).cast("byte")
+    sent = sent.withColumn("__role", role).drop("__way").join(sorted_join(parts), ["__cx", "__cy"])
+    sent = sent.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    names = ["__cx", "__cy", "__part", "__role", "id", "x", "y", "v", F.col("v").isNotNull().alias("there")]
+    both = own.withColumn("__role", F.lit(0).cast("byte")).select(*names).unionByName(sent.select(*names))
+    width = max_dist / n_lags
+
+    def run(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("x")
+        order = pdf["id"].rank(method="dense").to_numpy()  # ids may be of any type
+        role, x, y, v, there = (pdf[c].to_numpy() for c in ("__role", "x", "y", "v", "there"))
+        a, sums = np.flatnonzero(role == 0), np.zeros((4, n_lags + 1))
+        for kind in (1, 2):
+            b = np.flatnonzero(role == kind)
+            step = max(1, 100_000 // max(1, len(b)))
+            for k in range(0, len(a) if len(b) else 0, step):
+                p = a[k : k + step]
+                slack = max_dist * (1 + 1e-9)
+                q = b[np.searchsorted(x[b], x[p[0]] - slack) : np.searchsorted(x[b], x[p[-1]] + slack, "right")]
+                dx, dy = x[p][:, None] - x[q], y[p][:, None] - y[q]
+                d = np.sqrt(dx * dx + dy * dy)
+                near = d < max_dist
+                if kind == 1:
+                    near &= order[p][:, None] < order[q]
+                i, j = np.nonzero(near)
+                d = d[near]
+                lag = np.floor(d / width).astype(np.int64)
+                i, j = p[i], q[j]
+                known, half = there[i] & there[j], (v[i] - v[j]) ** 2 / 2
+                sums[0] += np.bincount(lag, minlength=n_lags + 1)
+                sums[1] += np.bincount(lag, d, n_lags + 1)
+                if known.all():
+                    sums[2] += np.bincount(lag, minlength=n_lags + 1)
+                    sums[3] += np.bincount(lag, half, n_lags + 1)
+                else:
+                    sums[2] += np.bincount(lag[known], minlength=n_lags + 1)
+                    sums[3] += np.bincount(lag[known], half[known], n_lags + 1)
+        n, d, known, s = sums
+        return pd.DataFrame({"lag": np.arange(n_lags + 1), "n": n, "d": d, "known": known, "s": s})[n > 0]
+
+    return both.groupBy("__cx", "__cy", "__part").applyInPandas(run, "lag int, n long, d double, known long, s double")
 
 
 def nugget_and_sill(bins: DataFrame) -> tuple[float, float]:

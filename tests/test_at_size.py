@@ -1,8 +1,10 @@
 """Queries on tables with the keys and sizes of large copies: results as SQL gives them, plans that hold."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from orbisframe.operators import spatial, validation
 from orbisframe.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,41 @@ NEVER_BROADCAST = ["knn_weights", "bias_report"]
 @pytest.mark.parametrize("name", NEVER_BROADCAST)
 def test_points_and_neighbours_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.fixture
+def pairs_made(monkeypatch):
+    """Counts the pairs that searches within a distance give out as rows."""
+    made, real = [], spatial.within
+
+    def within(*args):
+        found = real(*args)
+        made.append(found.count())
+        return found
+
+    for module in (spatial, validation):
+        monkeypatch.setattr(module, "within", within)
+    return made
+
+
+def dense(spark, n):
+    """n points in a square of side 1, of unlike values; every tenth without one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), float(y), None if i % 10 == 0 else float(i % 7)) for i, (x, y) in enumerate(rng.random((n, 2)))]
+    return rows, spark.createDataFrame(rows, "id long, x double, y double, v double")
+
+
+def test_variogram_makes_no_rows_of_pairs(spark, pairs_made, monkeypatch):
+    monkeypatch.setattr(spatial, "PART", 100, raising=False)  # some parts a cell
+    rows, points = dense(spark, 700)
+    got = {r.lag: r for r in spatial.variogram(points, "v", 5, 0.4).collect()}
+    _, x, y, v = (np.array(c, dtype=float) for c in zip(*rows, strict=True))
+    i, j = np.triu_indices(len(rows), 1)
+    d = np.sqrt((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2)
+    for lag in range(5):
+        own = (d < 0.4) & (np.floor(d / (0.4 / 5)) == lag)
+        half = (v[i] - v[j])[own] ** 2 / 2
+        assert got[lag].pairs == own.sum()
+        assert got[lag].distance == pytest.approx(d[own].mean())
+        assert got[lag].semivariance == pytest.approx(half[~np.isnan(half)].mean())
+    assert sum(pairs_made) == 0
