@@ -131,7 +131,7 @@ def moran_frame(points: DataFrame, value: str, weights: DataFrame) -> DataFrame:
     z = v.crossJoin(F.broadcast(total)).select("id", (F.col("v") - F.col("mean")).alias("z"))  # total is one row
     moments = z.agg(F.count("*").cast("double").alias("n"), F.sum(F.col("z") ** 2).alias("ss"), F.sum(F.col("z") ** 4).alias("m4"))
     zi, zj = z.select(F.col("id").alias("i"), F.col("z").alias("zi")), z.select(F.col("id").alias("j"), F.col("z").alias("zj"))
-    cross = weights.join(zi, "i").join(zj, "j").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("num"))
+    cross = weights.join(sorted_join(zi), "i").join(sorted_join(zj), "j").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("num"))
     s1 = weights.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("w").alias("w")).agg(F.sum(F.col("w") ** 2).alias("s1"))
     ends = weights.select(F.col("i").alias("a"), "w").unionAll(weights.select(F.col("j").alias("a"), "w"))
     s2 = ends.groupBy("a").agg(F.sum("w").alias("w")).agg(F.sum(F.col("w") ** 2).alias("s2"))
