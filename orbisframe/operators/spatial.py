@@ -162,7 +162,7 @@ def geary_frame(points: DataFrame, value: str, weights: DataFrame) -> DataFrame:
     """One row: n, C; 1 where the values or weights don't vary."""
     v = _values(points, value)
     zi, zj = v.select(F.col("id").alias("i"), F.col("v").alias("vi")), v.select(F.col("id").alias("j"), F.col("v").alias("vj"))
-    cross = weights.join(zi, "i").join(zj, "j").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * (F.col("vi") - F.col("vj")) ** 2).alias("num"))
+    cross = weights.join(sorted_join(zi), "i").join(sorted_join(zj), "j").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * (F.col("vi") - F.col("vj")) ** 2).alias("num"))
     total = v.agg(F.count("*").alias("n"), (F.var_pop("v") * F.count("v")).alias("ss")).crossJoin(cross)  # one row each
     return total.select("n", F.coalesce(F.try_divide((F.col("n") - 1) * F.col("num"), 2 * F.col("s0") * F.col("ss")), F.lit(1.0)).alias("C"))
 
