@@ -181,9 +181,9 @@ def local_morans_i(points: DataFrame, value: str, weights: DataFrame | None = No
         same = {"I": F.lit(0.0), "z_score": F.lit(0.0), "p_value": F.lit(1.0), "cluster": F.lit("not significant")}
         return points.withColumns(same)
     b2 = z.agg((F.avg(F.col("z") ** 4)).alias("m4")).first()["m4"]
-    lag = weights.join(z.select(F.col("id").alias("j"), F.col("z").alias("zj")), "j").groupBy(F.col("i").alias("id"))
+    lag = weights.join(sorted_join(z.select(F.col("id").alias("j"), F.col("z").alias("zj"))), "j").groupBy(F.col("i").alias("id"))
     lag = lag.agg(F.sum(F.col("w") * F.col("zj")).alias("lag"), F.sum("w").alias("wr"), F.sum(F.col("w") ** 2).alias("wq"))
-    out = z.join(lag, "id", "left").na.fill(0.0, ["lag", "wr", "wq"])
+    out = z.join(sorted_join(lag), "id", "left").na.fill(0.0, ["lag", "wr", "wq"])
     n, kurt = F.col("n"), F.lit(b2) / F.col("s2") ** 2
     expected = -F.col("wr") / (n - 1)
     variance = F.col("wq") * (n - kurt) / (n - 1) + (F.col("wr") ** 2 - F.col("wq")) * (2 * kurt - n) / ((n - 1) * (n - 2)) - expected**2
@@ -198,7 +198,7 @@ def local_morans_i(points: DataFrame, value: str, weights: DataFrame | None = No
     high, up = F.col("z") > 0, F.col("lag") > 0
     label = F.when(F.col("p_value") > p_threshold, "not significant").when(high & up, "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL").when(high & (F.col("lag") < 0), "HL").otherwise("LH")
     stats = out.select("id", F.col("z").alias(f"{value}_std"), "I", "z_score", "p_value", label.alias("cluster"), F.col("lag").alias("spatial_lag"))
-    return points.join(stats, "id")
+    return points.join(sorted_join(stats), "id")
 
 
 def variogram(points: DataFrame, value: str, n_lags: int = 15, max_dist: float | None = None) -> DataFrame:
