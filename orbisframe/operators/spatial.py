@@ -39,13 +39,13 @@ def _far(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """(i, j, d): pairs at most radius apart; by cells as wide as the radius."""
+def within(left: DataFrame, right: DataFrame, radius: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, d, keep): pairs at most radius apart, with columns of left; by cells as wide as the radius."""
     cell = radius if radius > 0 else 1.0
-    a = _spread(left.select(F.col("id").alias("i"), F.col("x"), F.col("y")), cell, 1).withColumnsRenamed({"x": "__x", "y": "__y"})
+    a = _spread(left.select(F.col("id").alias("i"), "x", "y", *keep), cell, 1).withColumnsRenamed({"x": "__x", "y": "__y"})
     b = _cells(right.select(F.col("id").alias("j"), "x", "y"), cell)
-    d = F.sqrt((F.col("__x") - F.col("x")) ** 2 + (F.col("__y") - F.col("y")) ** 2)
-    return a.join(sorted_join(b), ["__cx", "__cy"]).select("i", "j", d.alias("d")).filter(F.col("d") <= radius)
+    d = _far(F.col("__x") - F.col("x"), F.col("__y") - F.col("y"))
+    return a.join(sorted_join(b), ["__cx", "__cy"]).select("i", "j", d.alias("d"), *keep).filter(F.col("d") <= radius)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, same: bool = False) -> DataFrame:
@@ -103,7 +103,10 @@ def distance_weights(points: DataFrame, threshold: float | None = None) -> DataF
     """(i, j, w): points at most threshold apart (1.5 times the median nearest distance), row-standardised."""
     if threshold is None:
         threshold = 1.5 * nearest(points, points, 1, same=True).agg(F.median("d")).first()[0]
-    return row_standardize(within(points, points, threshold).filter("i != j").select("i", "j", F.lit(1.0).alias("w")))
+    # the pairs are worked out twice, first to count each point's: they outnumber the points by far and are never dealt out
+    near = within(points, points, threshold).filter("i != j").groupBy(F.col("i").alias("id")).agg((1.0 / F.count("*")).alias("w"))
+    weighted = points.select("id", "x", "y").join(sorted_join(near), "id")
+    return within(weighted, points, threshold, ("w",)).filter("i != j").select("i", "j", "w")
 
 
 @dataclass

@@ -115,3 +115,13 @@ def test_buffers_of_dense_folds_make_no_rows_of_all_pairs(spark, pairs_made, rad
         want = {(int(i), k) for k in range(3) for i in np.flatnonzero((d[:, f == k] <= radius).any(axis=1) & (f != k))}
         assert len(got) == len(set(got)) and set(got) == want
     assert sum(pairs_made) == 0
+
+
+def test_distance_weights_do_not_deal_out_pairs(spark):
+    rows, points = dense(spark, 400)
+    df = spatial.distance_weights(points, 0.2)
+    assert "Window" not in plan(df)
+    xy = np.array([r[1:3] for r in rows])
+    near = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2)) <= 0.2
+    np.fill_diagonal(near, False)
+    assert {(r.i, r.j): r.w for r in df.collect()} == {(i, j): 1.0 / near[i].sum() for i, j in np.argwhere(near).tolist()}
