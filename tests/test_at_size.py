@@ -42,7 +42,7 @@ def plan(df):
 
 
 #: Queries whose sides look small by their files and are not.
-NEVER_BROADCAST = ["knn_weights", "bias_report", "morans_i", "ess", "gearys_c", "lisa", "lisa_clusters"]
+NEVER_BROADCAST = ["knn_weights", "bias_report", "morans_i", "ess", "evaluate_spatial", "gearys_c", "lisa", "lisa_clusters"]
 
 
 @pytest.mark.parametrize("name", NEVER_BROADCAST)
