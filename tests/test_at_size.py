@@ -50,6 +50,20 @@ def test_points_and_neighbours_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SF))
 
 
+#: Queries held to a broadcast limit on copies of the customers with shifted keys.
+SMALL_BROADCASTS = ["bias_report"]
+
+
+@pytest.mark.parametrize("name", SMALL_BROADCASTS)
+def test_copies_give_the_rows_of_sql_with_no_large_broadcast(spark, tmp_path, name):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64k")  # a larger one raises
+    try:
+        got, want = like_sql(spark, tmp_path, name, customer=f"select * replace(c_custkey + 150 * r.range as c_custkey) from '{SF}/customer.parquet', range(20) r")
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) > 0 and got == want
+
+
 @pytest.fixture
 def pairs_made(monkeypatch):
     """Counts the pairs that searches within a distance give out as rows."""
