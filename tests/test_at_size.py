@@ -51,7 +51,7 @@ def test_points_and_neighbours_are_not_broadcast(spark, name):
 
 
 #: Queries held to a broadcast limit on copies of the customers with shifted keys.
-SMALL_BROADCASTS = ["bias_report", "ess", "lisa_clusters"]
+SMALL_BROADCASTS = ["bias_report", "ess", "lisa_clusters", "evaluate_spatial"]
 
 
 @pytest.mark.parametrize("name", SMALL_BROADCASTS)
